@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from citegraph.llm import quality, sharding
+from citegraph.llm import packing, quality, sharding, tokens
 
 QUERIES = {
+    "op3_token_counts": tokens.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
     "op7_extendible_hashing": sharding.op7_extendible_hashing,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLE_SQL = {
