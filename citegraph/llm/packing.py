@@ -5,8 +5,9 @@ plan needs only how many pieces there are of each length, at most 2,048 numbers
 
 1. the large lengths are put in groups of equal cardinality and rounded up to the longest of their group,
 2. configurations of few sizes are optimised by column generation (a linear program whose columns a knapsack finds),
-3. the actual pieces take the places of the rounded ones,
-4. what is left over and the small pieces go, longest first, where they fit best.
+3. the actual pieces take the places of the rounded ones, but for the shortest place of each configuration, whose
+   room is what rounding left as well,
+4. the pieces of those places and the small pieces go, longest first, where they fit best.
 
 The plan is a list of intervals: pieces of one length with ranks from a to b go to sequences from s on, one each, at one
 offset. Ranks come from two-level counts, (length, bucket) and then a row number inside a bucket, so that a length
@@ -36,12 +37,12 @@ from citegraph.llm.tokens import PieceCache, PreTokens, vocabulary_path
 
 CAPACITY = 2048
 SEPARATOR = 0
-GROUPS = 160
-#: Lengths up to this share of the capacity are small.
-SMALL_SHARE = 16
+GROUPS = 48
+#: Lengths up to one of these shares of the capacity are small: the plan with the fewest sequences is taken.
+SMALL_SHARES = (3, 8, 2)
 #: Pieces of one length that a bucket should hold, and the fewest buckets.
 BUCKET_ROWS, MIN_BUCKETS = 100_000, 64
-MAX_COLUMNS = 800
+MAX_COLUMNS = 400
 
 
 @lru_cache(maxsize=2)
@@ -160,11 +161,11 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> lis
 class Plan:
     """Intervals [length, rank, count, first sequence, offset] for a histogram of lengths."""
 
-    def __init__(self, counts: np.ndarray, capacity: int = CAPACITY):
+    def __init__(self, counts: np.ndarray, capacity: int = CAPACITY, share: int = SMALL_SHARES[0]):
         self.capacity, self.intervals, self.sequences = capacity, [], 0
         self.runs: dict[int, list[tuple[int, int]]] = defaultdict(list)  # by gap: (first sequence, count)
         self.gaps: list[int] = []
-        small = capacity // SMALL_SHARE
+        small = capacity // share
         if counts[capacity]:
             self.intervals.append([capacity, 0, int(counts[capacity]), 0, 0])
             self.sequences = int(counts[capacity])
@@ -175,7 +176,7 @@ class Plan:
             demand = np.array([sum(m[2] for m in members) for _, members in groups], float)
             for column, times in _configurations(sizes, demand, capacity):
                 slots = [g for g in np.flatnonzero(column) for _ in range(column[g])]
-                self._substitute([groups[g][1] for g in slots], times)
+                self._substitute([groups[g][1] for g in slots[:-1]], times)
             left += [tuple(m) for _, members in groups for m in members if m[2]]
         for length, rank, count in sorted(left, key=lambda m: (-m[0], m[1])):
             self._best_fit(length, rank, count)
@@ -188,7 +189,7 @@ class Plan:
 
     def _substitute(self, slots: list[list[list[int]]], times: int) -> None:
         """times sequences of one configuration; each slot takes the next actual pieces of its group."""
-        while times:
+        while times and slots:
             ready = [next((m for m in members if m[2]), None) for members in slots]
             if not all(ready):
                 break  # a group ran out: the program rounded in its favour
@@ -236,12 +237,24 @@ class Plan:
             self._gap(gap, first + bins, n - bins)
 
 
+def best_plan(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
+    """The best of the schemes for the shares, or the first that meets the bound of the sum of all lengths."""
+    least, best = -(-int(counts @ np.arange(capacity + 1)) // capacity), None
+    for share in SMALL_SHARES:
+        plan = Plan(counts, capacity, share)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences == least:
+            break
+    return best
+
+
 def pack(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """pieces with sequence_id and offset; pieces must be a written table, as it is read three times."""
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # at most capacity rows
         counts[length] = n
-    plan = np.array(Plan(counts, capacity).intervals, np.int64).reshape(-1, 5)
+    plan = np.array(best_plan(counts, capacity).intervals, np.int64).reshape(-1, 5)
     base = np.r_[0, np.cumsum(counts)[:-1]]
     start = base[plan[:, 0]] + plan[:, 1]
     order = np.argsort(start, kind="stable")

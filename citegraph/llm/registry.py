@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from citegraph.llm import packing, quality, sharding, tokens
+from citegraph.llm import packing, quality, sharding, tokens, toxicity
 
 QUERIES = {
     "op3_token_counts": tokens.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op6_toxicity_crf": toxicity.op6_toxicity_crf,
     "op7_extendible_hashing": sharding.op7_extendible_hashing,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
