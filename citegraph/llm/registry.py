@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from citegraph.llm import packing, quality, sharding, tokens, toxicity
+from citegraph.llm import neardup, packing, quality, sharding, tokens, toxicity
 
 QUERIES = {
+    "op1_near_dedup": neardup.op1_near_dedup,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_toxicity_crf": toxicity.op6_toxicity_crf,
