@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from citegraph.llm.common import materialize, ship, table
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 6
+BANDS, ROWS = 26, 5
 #: Groups up to this size are compared at once; expected leaders of larger ones in the first round, and their growth.
 WHOLE_GROUP, LEADERS, GROWTH = 16, 2, 8
 #: Bits of the filter that tells which texts are candidates: 2 MB, however many there are.
