@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from citegraph.llm import html, neardup, packing, quality, sharding, tokens, toxicity, urls
+from citegraph.llm import decontaminate, html, neardup, packing, quality, sharding, tokens, toxicity, urls
 
 QUERIES = {
     "op1_near_dedup": neardup.op1_near_dedup,
     "op2_html_extraction": html.op2_html_extraction,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_toxicity_crf": toxicity.op6_toxicity_crf,
     "op7_extendible_hashing": sharding.op7_extendible_hashing,
     "op8_url_filters": urls.op8_url_filters,
