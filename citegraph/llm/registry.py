@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citegraph.llm import decontaminate, html, neardup, packing, quality, sharding, tokens, toxicity, urls
+from citegraph.llm import decontaminate, html, neardup, packing, ppm, quality, sharding, tokens, toxicity, urls
 
 QUERIES = {
     "op1_near_dedup": neardup.op1_near_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity_crf": toxicity.op6_toxicity_crf,
     "op7_extendible_hashing": sharding.op7_extendible_hashing,
     "op8_url_filters": urls.op8_url_filters,
+    "op9_lm_scoring": ppm.op9_lm_scoring,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
