@@ -1,18 +1,57 @@
-"""Five stages over documents: quality rules, toxicity, near-duplicates, decontamination, packing."""
+"""Five stages over documents: quality rules, toxicity, near-duplicates, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the first four return the columns of documents. What a
+stage returns is written and read again before the next one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegraph.llm import quality
-from citegraph.llm.common import table
+from citegraph.llm import decontaminate, neardup, packing, quality, toxicity
+from citegraph.llm.common import materialize, table
+from citegraph.llm.tokens import vocabulary_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.apply_rules(docs)
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic; the field learns from the labels of the documents that came."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return neardup.keep_one(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents, packed in sequences of at most 2,048 tokens."""
+    return packing.pack_documents(docs, vocabulary_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxic_documents),
+    ("near_dedup", near_duplicates),
+    ("decontamination", benchmark_leaks),
+    ("best_fit_packing", packed_sequences),
+]
 
-STAGES = [("quality", lambda spark, docs, sf_dir: quality.apply_rules(docs))]
+#: SQL can express the first stage alone; the pipeline is tested stage by stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
