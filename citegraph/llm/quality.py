@@ -128,9 +128,14 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
 
 
 def apply_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The rows of df that the rules keep, with the columns they came with."""
+    """The rows of df that the rules keep, with the columns they came with.
+
+    The verdict stands in a projection with a row number: a filter on it is not pushed down, where its measures would
+    be written out, and worked out, once for each place that names them.
+    """
     measured = quality_measures(df, [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")], text)
-    return measured.where(verdict(rules)[1]).select("row.*")
+    judged = measured.select("row", verdict(rules)[1].alias("__kept"), F.monotonically_increasing_id().alias("__at"))
+    return judged.where(F.col("__kept") & (F.col("__at") >= 0)).select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
