@@ -7,10 +7,10 @@ as the document has elements, plus the darts. Two documents agree in a coordinat
 Jaccard similarity; with unit weights, that of the sets.
 
 Signatures are cut into bands; texts that share a band are compared on their exact sets of runs. A band's group is never
-paired with itself as a whole: texts with the lowest hashes lead, all others are compared with the leaders, and groups
-whose texts are not yet in one class get eight times as many leaders in the next round, until each text has led. So a
-group of copies costs one or two comparisons a text, and no link between different texts is lost to a limit. Equal
-texts are one text throughout. Classes are the connected components of the links, found by alternating stars.
+paired with itself as a whole: each text is first compared with one leader of its groups, then those that are not yet in
+one class with a leader of the largest class in a group. What is still apart in a group is compared with ever more
+leaders, until each text has led, so that no link between different texts is lost to a limit. Equal texts are one text
+throughout. Classes are the connected components of the links, found by alternating stars.
 
 Defined results: a text without words (null, empty, blank) is only a copy of an equal text; null counts as empty. A text
 of one to four words is one run. Repeated rows are copies. A class is named by its least id, null when none has an id.
@@ -25,15 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegraph.llm.common import materialize, ship, table
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
-#: Groups up to this size are compared at once; expected leaders of larger ones in the first round, and their growth.
-WHOLE_GROUP, LEADERS, GROWTH = 16, 2, 8
+#: Rounds with one comparison a text after the first. Then: groups up to this size are compared at once; expected leaders
+#: of larger ones in the first round, and their growth.
+HUB_ROUNDS, WHOLE_GROUP, LEADERS, GROWTH = 2, 16, 2, 8
 #: Bits of the filter that tells which texts are candidates: 2 MB, however many there are.
 FILTER_BITS = 24
 
@@ -191,62 +192,102 @@ def _filter(keys: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a lesser one, and none of those has one itself."""
+    ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where((F.col("up") > 1) | (F.col("up") + F.col("down") > 1))
+    return odd.isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(key, root) of every node of edges (a, b) that is not its component's least, by alternating large and small stars."""
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "stars")
-    mark = None
-    while True:
+    while not _is_stars(now):
         both = now.union(now.select("b", "a")).toDF("u", "v")
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-least")
         large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "stars")
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "star-least")
         joined = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = materialize(joined.select("e.*").where("a > b").distinct(), "stars")
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if found == mark:
-            return now.select(F.col("a").alias("key"), F.col("b").alias("root"))
-        mark = found
+    return now.select(F.col("a").alias("key"), F.col("b").alias("root"))
+
+
+def _verified(keyed: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of different texts whose sets of runs are similar."""
+    runs = materialize(_runs(keyed, _filter(pairs.select("a").union(pairs.select("b")).toDF("key"))), "runs")
+    with_a = pairs.join(runs.select(F.col("key").alias("a"), F.col("runs").alias("ra")), "a")
+    with_b = with_a.join(runs.select(F.col("key").alias("b"), F.col("runs").alias("rb")), "b")
+    common = F.size(F.array_intersect("ra", "rb"))
+    good = with_b.select("a", "b", common.alias("c"), (F.size("ra") + F.size("rb") - common).alias("all")).where(F.col("c") >= similarity * F.col("all"))
+    return materialize(good.select("a", "b", (F.col("c") / F.col("all")).alias("similarity")), "links")
+
 
+def _order(seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key"), 11) / F.lit(2.0**53)
 
-def _links(keyed: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame | None, DataFrame | None]:
-    """The links between different texts, and the (key, root) of their components."""
+
+def _one_each(frame: DataFrame, lead: Column) -> DataFrame:
+    """For each text the first of its candidates lead (order, key)."""
+    picked = frame.groupBy("key").agg(F.min(lead).alias("lead"))
+    return materialize(picked.select(F.greatest("key", "lead.key").alias("a"), F.least("key", "lead.key").alias("b")).distinct(), "candidates")
+
+
+def _links(keyed: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame | None, DataFrame]:
+    """The links between different texts, and the (key, root) of their components.
+
+    First rounds compare each text with one other: the first of its groups' leaders, then a text of the largest class in
+    one of its groups. They join nearly all that belongs together; the last rounds leave no pair in a group that is
+    neither compared nor in one class.
+    """
     members = texts.where("n > 0").select("key", "n", F.explode("bands").alias("bucket"))
-    sizes = materialize(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "groups")
-    members = materialize(members.join(sizes, "bucket").withColumn("order", F.shiftrightunsigned(F.xxhash64(F.lit(7), "key"), 11) / F.lit(2.0**53)), "members")
-    links = roots = runs = None
-    below, share = 0.0, 0.0
+    lead = F.min(F.struct(_order(0).alias("order"), "key", "n")).alias("hub")
+    groups = materialize(members.groupBy("bucket").agg(F.count("*").alias("size"), lead).where("size > 1"), "groups")
+    members = materialize(members.join(groups, "bucket"), "members")
+
+    def near(other: str) -> Column:
+        return F.least(F.col("n"), F.col(f"{other}.n")) >= similarity * F.greatest(F.col("n"), F.col(f"{other}.n"))
+
+    pairs = _one_each(members.where((F.col("key") != F.col("hub.key")) & near("hub")), F.struct("hub.order", "hub.key"))
+    links = _verified(keyed, pairs, similarity)
+    roots = components(links.select("a", "b"))
+    members = members.drop("hub")
+
+    def labelled() -> tuple[DataFrame, DataFrame]:
+        rows = materialize(members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "members")
+        mixed = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        return rows, materialize(mixed, "groups")
+
+    for seed in range(1, HUB_ROUNDS + 1):
+        rows, mixed = labelled()
+        rows = materialize(rows.join(mixed, "bucket"), "members")  # groups of one class are done
+        members = rows.drop("root")
+        if rows.isEmpty():
+            return links, roots
+        classes = rows.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.min(F.struct(_order(seed).alias("order"), "key", "n")).alias("hub"))
+        top = materialize(classes.groupBy("bucket").agg(F.max(F.struct("c", "root", "hub")).alias("top")).select("bucket", F.col("top.root").alias("top_root"), F.col("top.hub").alias("hub")), "leaders")
+        apart = rows.join(top, "bucket").where((F.col("root") != F.col("top_root")) & near("hub"))
+        good = _verified(keyed, _one_each(apart, F.struct("hub.order", "hub.key")), similarity)
+        links = links.unionByName(good)
+        roots = components(roots.toDF("a", "b").union(good.select("a", "b")))
+
+    below, share = 0.0, float(LEADERS)
     while True:
-        share = LEADERS if share == 0 else share * GROWTH
-        reach = F.when(F.col("size") <= WHOLE_GROUP, F.lit(1.0)).otherwise(F.lit(share) / F.col("size"))
-        former = F.when((F.col("size") <= WHOLE_GROUP) & F.lit(below > 0), F.lit(1.0)).otherwise(F.lit(below) / F.col("size"))
-        open_groups = members
-        if roots is not None:
-            labelled = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-            labelled = materialize(labelled, "members-labelled")
-            mixed = materialize(labelled.where(F.lit(below) < F.col("size")).where(F.col("size") > WHOLE_GROUP).groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket"), "groups-open")
-            open_groups = labelled.join(mixed, "bucket")
-        leaders = materialize(open_groups.where((F.col("order") < reach) & (F.col("order") >= former)), "leaders")
-        if leaders.isEmpty():
-            if roots is None or mixed.isEmpty():
-                return links, roots
-            below = share
-            continue
-        root = F.col("root") if roots is not None else F.col("key")
-        x = open_groups.select("bucket", F.col("key").alias("a"), F.col("n").alias("na"), root.alias("ra"))
-        y = leaders.select("bucket", F.col("key").alias("b"), F.col("n").alias("nb"), root.alias("rb"))
-        near = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-        pairs = x.join(y, "bucket").where(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs, "candidates")
-        own = _runs(keyed, _filter(pairs.select(F.explode(F.array("a", "b")).alias("key"))))
-        runs = materialize(own, "runs")
-        with_a = pairs.join(runs.select(F.col("key").alias("a"), F.col("runs").alias("ra")), "a")
-        with_b = with_a.join(runs.select(F.col("key").alias("b"), F.col("runs").alias("rb")), "b")
-        common = F.size(F.array_intersect("ra", "rb"))
-        good = with_b.select("a", "b", common.alias("c"), (F.size("ra") + F.size("rb")).alias("t")).where(F.col("c") >= similarity * (F.col("t") - F.col("c")))
-        good = materialize(good.select("a", "b", (F.col("c") / (F.col("t") - F.col("c"))).alias("similarity")), "links")
-        links = good if links is None else links.unionByName(good)
-        roots = components(links.select("a", "b"))
-        below = share
+        rows, mixed = labelled()
+        size, whole = F.col("size"), F.col("size") <= WHOLE_GROUP
+        rows = rows.join(mixed, "bucket").where(~whole | F.lit(below == 0)).where(F.lit(below) < size).withColumn("order", _order(0))
+        rows = materialize(rows, "members")
+        members = rows.drop("root", "order")
+        if rows.isEmpty():
+            return links, roots
+        leads = (whole | (F.col("order") < F.lit(share) / size)) & (F.col("order") >= F.lit(below) / size)
+        x = rows.select("bucket", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+        y = materialize(rows.where(leads).select("bucket", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry")), "leaders")
+        apart = x.join(y, "bucket").where((F.col("rx") != F.col("ry")) & (F.least("nx", "ny") >= similarity * F.greatest("nx", "ny")))
+        pairs = materialize(apart.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "candidates")
+        good = _verified(keyed, pairs, similarity)
+        links = links.unionByName(good)
+        roots = components(roots.toDF("a", "b").union(good.select("a", "b")))
+        below, share = share, share * GROWTH
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
