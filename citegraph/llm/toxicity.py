@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Field
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps([model.weights, model.steps.ravel().tolist(), model.head.tolist()])])], ["model"])
 
     found = rows.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(run, "model string").first()
-    return Field(*json.loads(found[0]))
+    return fit([], []) if found is None else Field(*json.loads(found[0]))  # without rows there is no task to fit in
 
 
 def score_documents(df: DataFrame, model: Field, keep: list[str]) -> DataFrame:
