@@ -28,6 +28,11 @@ _MARKED = [(a, b) for a, b in _MARKED if a.islower() and b.isascii() and b.isalp
 ACCENTED, PLAIN = "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, not for each element of a lambda inside use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold(c: Column) -> Column:
     """Lower case without the accents of Latin letters: the fast path of case and accent folding."""
     return F.translate(F.lower(c), ACCENTED, PLAIN)
@@ -54,13 +59,16 @@ def scramble_key(word: Column) -> Column:
 
 def holds_phrase(words: Column, phrases: list[str]) -> Column:
     """Whether an array of folded words holds one of the phrases, inner letters in any order."""
-    keys = F.transform(words, scramble_key)
-    out = F.lit(False)
-    for phrase in phrases:
-        parts = phrase.split()
-        starts = F.when(F.size(keys) >= len(parts), F.sequence(F.lit(1), F.size(keys) - len(parts) + 1)).otherwise(F.array().cast("array<int>"))
-        out = out | F.exists(starts, _is_at(keys, parts))
-    return out
+
+    def found(keys: Column) -> Column:
+        out = F.lit(False)
+        for phrase in phrases:
+            parts = phrase.split()
+            starts = F.when(F.size(keys) >= len(parts), F.sequence(F.lit(1), F.size(keys) - len(parts) + 1)).otherwise(F.array().cast("array<int>"))
+            out = out | F.exists(starts, _is_at(keys, parts))
+        return out
+
+    return let(F.transform(words, scramble_key), found)
 
 
 def _is_at(keys: Column, parts: list[str]) -> Callable[[Column], Column]:
@@ -120,9 +128,13 @@ def language(text: Column, stopwords: dict[str, list[str]], least: int = 3, most
     """The language with the most stopword hits in the first words: at least three and no tie, else null."""
     words = F.slice(tokens(text), 1, most_words)
     hits = F.array(*[F.struct(F.size(F.filter(words, _in(s))).alias("n"), F.lit(lang).alias("lang")) for lang, s in sorted(stopwords.items())])
-    best = F.array_max(hits)
-    ties = F.size(F.filter(hits, lambda x: x["n"] == best["n"]))
-    return F.when((best["n"] >= least) & (ties == 1), best["lang"])
+
+    def best(h: Column) -> Column:
+        top = F.array_max(h)
+        ties = F.size(F.filter(h, lambda x: x["n"] == F.array_max(h)["n"]))
+        return F.when((top["n"] >= least) & (ties == 1), top["lang"])
+
+    return let(hits, best)
 
 
 def norm_email(c: Column) -> Column:
@@ -238,6 +250,10 @@ def next_occurrence(value: Column, today: Column) -> Column:
 def hash_embedding(text: Column, dims: int = 64) -> Column:
     """Counts of words by the last byte of their md5, scaled to length one: a deterministic embedding."""
     slots = F.transform(tokens(text), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), -2, 2), 16, 10).cast("int") % dims)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+    def scaled(counts: Column) -> Column:
+        squares = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
+        return let(squares, lambda norm: F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0)))
+
+    counts = let(slots, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double")))
+    return let(counts, scaled)
