@@ -369,13 +369,13 @@ def item_entities(m: Model) -> DataFrame:
     f"""WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS value FROM orders),
 n AS (SELECT o_orderkey, value, CASE WHEN length(value) = 5 THEN (SELECT min(d) FROM (SELECT try_cast((1995 + i)::VARCHAR || '-' || value AS DATE) AS d FROM range(0, 6) r(i)) WHERE d >= DATE '{TODAY}')
   WHEN value::DATE >= DATE '{TODAY}' THEN value::DATE END AS date FROM v)
-SELECT o_orderkey, value, date FROM n WHERE date IS NOT NULL AND date <= DATE '{TODAY}' + 45"""
+SELECT o_orderkey, value, date::VARCHAR AS date FROM n WHERE date IS NOT NULL AND date <= DATE '{TODAY}' + 45"""
 )
 def dated_facts_upcoming(m: Model) -> DataFrame:
     value = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "MM-dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     rows = m.table("orders").select("o_orderkey", value.alias("value"))
     today = F.lit(TODAY).cast("date")
-    return rows.withColumn("date", T.next_occurrence(F.col("value"), today)).where(F.col("date") <= F.date_add(today, 45))
+    return rows.withColumn("date", T.next_occurrence(F.col("value"), today)).where(F.col("date") <= F.date_add(today, 45)).withColumn("date", F.col("date").cast("string"))
 
 
 @query(
