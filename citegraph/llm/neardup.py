@@ -34,7 +34,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
 #: Rounds with one comparison a text after the first. Then: groups up to this size are compared at once; expected leaders
 #: of larger ones in the first round, and their growth.
-HUB_ROUNDS, WHOLE_GROUP, LEADERS, GROWTH = 2, 16, 2, 8
+HUB_ROUNDS, WHOLE_GROUP, LEADERS, GROWTH = 1, 16, 4, 16
 #: Bits of the filter that tells which texts are candidates: 2 MB, however many there are.
 FILTER_BITS = 24
 
@@ -214,6 +214,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _verified(keyed: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of different texts whose sets of runs are similar."""
+    if pairs.isEmpty():
+        return pairs.select("a", "b", F.lit(0.0).alias("similarity"))
     runs = materialize(_runs(keyed, _filter(pairs.select("a").union(pairs.select("b")).toDF("key"))), "runs")
     with_a = pairs.join(runs.select(F.col("key").alias("a"), F.col("runs").alias("ra")), "a")
     with_b = with_a.join(runs.select(F.col("key").alias("b"), F.col("runs").alias("rb")), "b")
@@ -267,8 +269,9 @@ def _links(keyed: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataF
         top = materialize(classes.groupBy("bucket").agg(F.max(F.struct("c", "root", "hub")).alias("top")).select("bucket", F.col("top.root").alias("top_root"), F.col("top.hub").alias("hub")), "leaders")
         apart = rows.join(top, "bucket").where((F.col("root") != F.col("top_root")) & near("hub"))
         good = _verified(keyed, _one_each(apart, F.struct("hub.order", "hub.key")), similarity)
-        links = links.unionByName(good)
-        roots = components(roots.toDF("a", "b").union(good.select("a", "b")))
+        if not good.isEmpty():
+            links = links.unionByName(good)
+            roots = components(roots.toDF("a", "b").union(good.select("a", "b")))
 
     below, share = 0.0, float(LEADERS)
     while True:
@@ -285,8 +288,9 @@ def _links(keyed: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataF
         apart = x.join(y, "bucket").where((F.col("rx") != F.col("ry")) & (F.least("nx", "ny") >= similarity * F.greatest("nx", "ny")))
         pairs = materialize(apart.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "candidates")
         good = _verified(keyed, pairs, similarity)
-        links = links.unionByName(good)
-        roots = components(roots.toDF("a", "b").union(good.select("a", "b")))
+        if not good.isEmpty():
+            links = links.unionByName(good)
+            roots = components(roots.toDF("a", "b").union(good.select("a", "b")))
         below, share = share, share * GROWTH
 
 
