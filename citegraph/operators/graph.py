@@ -18,6 +18,13 @@ def neighbours(relations: DataFrame, seeds: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
+def met(people: DataFrame, most: int = 10) -> DataFrame:
+    """(src, dst, item_id) of all unordered pairs of an item's people, for items of at most so many."""
+    own = people.groupBy("item_id").agg(F.array_sort(F.slice(F.collect_set("entity_id"), 1, most + 1)).alias("own")).where(F.size("own") <= most)
+    first = own.select("item_id", "own", F.posexplode("own").alias("i", "src"))
+    return first.select("src", F.explode(F.slice("own", F.col("i") + 2, F.lit(most))).alias("dst"), "item_id")
+
+
 def first_of(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
 

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from citegraph.functions import extract
 from citegraph.functions import text as T
 from citegraph.operators import graph, search, sync
 from citegraph.snapshot import checkpointed
+from citegraph.sources import parsers
 from citegraph.sources.testdata import Model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -529,4 +531,47 @@ def find_people(m: Model) -> DataFrame:
     return scored.crossJoin(F.broadcast(best)).where(F.col("score") * 2 >= F.col("best")).drop("best")
 
 
+@query(
+    f"""WITH n AS (SELECT item_id, count(*) AS k FROM {RECIPIENTS} GROUP BY item_id), s AS (SELECT r.* FROM {RECIPIENTS} r JOIN n USING (item_id) WHERE k <= 10)
+SELECT a.entity_id AS src, b.entity_id AS dst, count(*)::BIGINT AS weight FROM s a JOIN s b ON a.item_id = b.item_id AND a.entity_id < b.entity_id GROUP BY 1, 2"""
+)
+def met_pairs(m: Model) -> DataFrame:
+    return graph.met(m.recipients()).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+@query("SELECT '/' || source AS folder, count(*)::BIGINT AS files, min('doc:' || doc_id) AS first_item FROM documents GROUP BY source")
+def folder_entities(m: Model) -> DataFrame:
+    folder = F.regexp_extract("uri", r"^(.*)/[^/]+$", 1)
+    return m.files().groupBy(folder.alias("folder")).agg(F.count("*").alias("files"), F.min("item_id").alias("first_item"))
+
+
+@query(f"SELECT item_id, author, list_sort(list(entity_id)) AS recipients FROM {MAILS} JOIN {RECIPIENTS} USING (item_id) GROUP BY item_id, author")
+def item_people(m: Model) -> DataFrame:
+    return m.mails().select("item_id", "author").join(m.recipients(), "item_id").groupBy("item_id", "author").agg(F.array_sort(F.collect_list("entity_id")).alias("recipients"))
+
+
+@query(f"SELECT c.conv_id, c.turn, min(f.item_id) AS saved_as FROM conversations c JOIN {FILES} f ON sha256(c.text) = f.content_hash GROUP BY 1, 2")
+def saved_copies(m: Model) -> DataFrame:
+    first = m.files().groupBy("content_hash").agg(F.min("item_id").alias("saved_as"))
+    return m.messages().withColumn("content_hash", F.sha2("text", 256)).join(first, "content_hash").groupBy("conv_id", "turn").agg(F.min("saved_as").alias("saved_as"))
+
+
+@query()
+def html_to_text(m: Model) -> DataFrame:
+    pages = m.table("pages").select("page_id", F.concat("page_id", F.lit(".html")).alias("path"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+    return parsers.parsed(pages).select("page_id", "text", "error")
+
+
+@query()
+def extracted_values(m: Model) -> DataFrame:
+    return extract.extracted(m.files())
+
+
+@query()
+def prepare_pipeline(m: Model) -> DataFrame:
+    """Cleaned text, its risk, language and chunks of each file, in one pass."""
+    clean = m.files().select("item_id", T.strip_invisible(F.col("text")).alias("clean"), "text")
+    return clean.select("item_id", T.risk_score(F.col("text"), PHRASES).alias("risk"), T.language(F.col("clean"), STOPWORDS).alias("lang"), F.size(T.chunk_words(F.col("clean"))).alias("chunks"))
+
+
 __all__ = ["ORACLE", "QUERIES", "Window"]
