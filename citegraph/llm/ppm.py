@@ -6,10 +6,13 @@ A symbol is predicted by the longest context in the trie; an unseen one costs an
 context has different symbols), and shorter contexts leave out the symbols of the longer ones. So the symbols'
 probabilities add up to one, and a text's score is the sum of its symbols' logs.
 
-Training counts all words of all training documents, and contexts from the counted words, so a frequent word costs as
-much as a rare one. Contexts rarer than a share of SHARE of all symbols get no node, at any size of the corpus: at most
-1 / SHARE nodes for each order, so the trie's size is bounded. Words with a share of SHARE and more of all tokens, at
-most 1 / SHARE of them, are sent to all tasks for the base score; rarer ones are joined with the table of counts.
+Training counts every context of all training documents; none is dropped, so the model grows with the corpus. A symbol's
+probability depends on its GRAM alone, the ORDER symbols before it and itself, so the counts are one written table of
+grams. Orders 0 and 1, which the alphabet bounds, are sent to all tasks; higher orders stay in the table and are
+partitioned by the two symbols before the predicted one, since a context and all that it escapes to share them. Texts
+are scored in parts of about PART_SYMBOLS: a part asks for its distinct grams once, and gets their logs back by a join.
+Words with a share of SHARE and more of all tokens, at most 1 / SHARE of them, are sent to all tasks for the base score;
+rarer ones are joined with the table of counts.
 
 Defined results: a null or empty text is the end token alone. A null id has the fold of ''. Repeated rows are scored
 each, and count each in training. Without training documents the model is uniform. Only id and text are read.
@@ -24,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +40,9 @@ ORDER, SHARE = 5, 1e-6
 END, DOCUMENT, START = 256, 257, 258
 ALPHABET = 258
 WIDTH = 9
-MAX_COUNTER, MAX_MEMO, GROUP_WORDS = 500_000, 500_000, 50_000
+MAX_COUNTER, PART_SYMBOLS, MERGE_GRAMS = 500_000, 32_000_000, 1_500_000
+#: A gram packs the ORDER symbols before one and itself; SUFFIX takes the two symbols before it.
+SYMBOL, SUFFIX = (1 << WIDTH) - 1, (1 << 2 * WIDTH) - 1
 
 
 def split(text: str) -> list[bytes]:
@@ -78,6 +84,49 @@ def context_counts(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray,
     return unique, np.bincount(back, np.concatenate(weights), len(unique)).astype(np.int64)
 
 
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of every symbol of the texts, and which text it belongs to."""
+    words = [split(t) for t in texts]
+    pieces = [w for own in words for w in (*own, b"")]
+    n_pieces = np.fromiter((len(own) + 1 for own in words), np.int64, len(words))
+    owner = np.repeat(np.arange(len(texts)), n_pieces)
+    last = np.full(len(pieces), END)
+    last[np.cumsum(n_pieces) - 1] = DOCUMENT
+    lens = np.fromiter(map(len, pieces), np.int64, len(pieces)) + ORDER + 1
+    ends = np.cumsum(lens)
+    symbols = np.full(int(lens.sum()), START, np.int64)
+    byte = np.ones(len(symbols), bool)
+    byte[ends - 1] = False
+    for k in range(ORDER):
+        byte[ends - lens + k] = False
+    symbols[byte] = np.frombuffer(b"".join(pieces), np.uint8)
+    symbols[ends - 1] = last
+    key = np.zeros(max(0, len(symbols) - ORDER), np.int64)
+    for k in range(ORDER + 1):
+        key <<= WIDTH
+        key |= symbols[k : k + len(key)]
+    real = symbols[ORDER:] != START
+    return key[real], np.repeat(owner, lens)[ORDER:][real]
+
+
+def all_orders(keys: np.ndarray, counts: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(key, count) of the contexts, of order least and more, of counted grams; one start is a context, more are not."""
+    place = ORDER + 1 - np.maximum(1, sum((keys >> (WIDTH * k)) & SYMBOL == START for k in range(1, ORDER + 1)))
+    found, weights = [], []
+    for order in range(least, ORDER + 1):
+        own = place >= order
+        low = keys[own] & ((1 << (WIDTH * (order + 1))) - 1)
+        key, back = np.unique((np.int64(order) << (WIDTH * (ORDER + 1))) | low << (WIDTH * (ORDER - order)), return_inverse=True)
+        found.append(key)
+        weights.append(np.bincount(back, counts[own], len(key)).astype(np.int64))
+    return np.concatenate(found), np.concatenate(weights)
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    unique, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return unique, np.bincount(back, np.concatenate(counts), len(unique)).astype(np.int64)
+
+
 class Trie:
     """Log10 probabilities of tokens from counted contexts."""
 
@@ -114,8 +163,6 @@ class Trie:
         left = ALPHABET - (q[root[0]] if len(root) else 0)
         self.last = -np.log10(max(left, 1.0))
         del symbol
-        self.memo: dict[bytes, float] = {}
-        self.document = float(self._code(np.array([START, DOCUMENT]), np.array([0, 1]))[1])
 
     @staticmethod
     def _context(keys: np.ndarray, depth: np.ndarray) -> np.ndarray:
@@ -160,20 +207,19 @@ class Trie:
         out[todo] += self.last
         return out
 
-    def scores(self, words: list[bytes]) -> np.ndarray:
-        """Log10 probabilities of tokens."""
-        out = np.zeros(len(words))
-        for at in range(0, len(words), GROUP_WORDS):
-            own = words[at : at + GROUP_WORDS]
-            symbols, place, owner = _symbols(own)
-            out[at : at + len(own)] = np.bincount(owner, self._code(symbols, place), len(own))
-        return out
+    def logs(self, keys: np.ndarray) -> np.ndarray:
+        """Log10 probability of each gram's last symbol after the others."""
+        symbols = np.stack([(keys >> (WIDTH * k)) & SYMBOL for k in range(ORDER, -1, -1)], 1)
+        place = np.zeros(symbols.shape, np.int64)
+        place[:, -1] = ORDER + 1 - np.maximum(1, (symbols[:, :-1] == START).sum(1))
+        return self._code(symbols.ravel(), place.ravel())[ORDER :: ORDER + 1]
 
 
 class Model(NamedTuple):
-    """What scoring needs: the trie, the words that are sent to all tasks, the table of all counts, and the totals."""
+    """What scoring needs: the table of grams, (key, count) of orders 0 and 1, frequent words, all words, and the totals."""
 
-    trie: Trie
+    grams: DataFrame
+    low: tuple[np.ndarray, np.ndarray]
     frequent: dict[bytes, int]
     counts: DataFrame
     tokens: int
@@ -200,84 +246,152 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _by_suffix(df: DataFrame) -> DataFrame:
+    return df.repartition(F.shiftright("key", WIDTH).bitwiseAND(SUFFIX))
+
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """(key, n): how often each gram occurs in all rows of texts (one text column), as a written table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, held, known = [], [], 0, 0
+        for b in batches:
+            for group in grouped(b.column(0).to_pylist()):
+                key, n = np.unique(grams(group)[0], return_counts=True)
+                keys.append(key)
+                counts.append(n)
+                held += len(key)
+                if held > MERGE_GRAMS + known:
+                    key, n = _merged(keys, counts)
+                    known = held = len(key)
+                    keys, counts = [key], [n]
+                    if known > MERGE_GRAMS:
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+                        keys, counts, held, known = [], [], 0, 0
+        if keys:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, _merged(keys, counts))], ["key", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if own:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, _merged(*map(list, zip(*own, strict=True))))], ["key", "n"])
+
+    return materialize(_by_suffix(texts.mapInArrow(run, "key long, n long")).mapInArrow(add, "key long, n long"), "grams")
+
+
 def train(texts: DataFrame, share: float = SHARE) -> Model:
     """The model of all rows of texts, which has one text column without nulls."""
     ship(texts.sparkSession)
     counts = materialize(count_words(texts), "word-counts")
-    types, tokens, letters = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c") * (F.octet_length("word") + 1)), F.lit(0))).first()
+    types, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     documents = texts.count()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words, n = b.column(0).to_pylist(), b.column(1).to_numpy()
-            for at in range(0, len(words), GROUP_WORDS):
-                keys, total = context_counts(words[at : at + GROUP_WORDS], n[at : at + GROUP_WORDS])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total)], ["key", "n"])
-
-    contexts = counts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    kept = contexts.where(F.col("n") >= share * (letters + documents)).toPandas()  # at most 1 / share rows an order
-    keys, n = kept["key"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)
-    if documents:  # the end of a document: after a start, and without context
-        ends = [_key(np.array([START, DOCUMENT]), np.array([1]), order)[0] for order in (0, 1)]
-        keys, n = np.r_[keys, ends], np.r_[n, [documents, documents]]
+    counted = count_grams(texts)
+    pairs = counted.groupBy(F.col("key").bitwiseAND(SUFFIX).alias("pair")).agg(F.sum("n").alias("n")).toPandas()  # at most one row for two symbols
+    pair, n = pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)
+    start = sum(START << (WIDTH * k) for k in range(2, ORDER + 1))
+    keys, n = all_orders(pair | start, n)
+    low = keys >> (WIDTH * (ORDER + 1)) < 2
     found = counts.where(F.col("c") >= share * max(1, tokens)).select("word", "c").toPandas()  # at most 1 / share rows
     frequent = dict(zip(map(bytes, found["word"]), map(int, found["c"]), strict=True))
-    return Model(Trie(keys, n), frequent, counts, tokens + documents, types + (1 if documents else 0), documents)
+    return Model(counted, (keys[low], n[low]), frequent, counts, tokens + documents, types + (1 if documents else 0), documents)
 
 
 def score(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns in keep, with n_tokens, n_known, base_score and score of each row's text."""
     ship(df.sparkSession)
     rows = df.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    trie, base = model.trie, float(np.log10(model.tokens + 0.5 * (model.types + 1)))
+    base = float(np.log10(model.tokens + 0.5 * (model.types + 1)))
     words = list(model.frequent)
     place = {w: i for i, w in enumerate(words)}
     by_word = np.log10(np.fromiter(model.frequent.values(), float, len(words)) + 0.5) - base
-    by_model = trie.scores(words)
     end = float(np.log10(model.documents + 0.5) - base)
+    names = [*keep, "n_tokens", "known", "own", "rare", "__text", "__part", "__grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, float] = {}
         get = place.get
+        part, size, keys, held, known_grams = TaskContext.get().partitionId() << 32, 0, [], 0, 0
+        kinds: list[pa.DataType] = []
         for b in batches:
-            n, known, own, score, rare = [], [], [], [], []
+            n, known, own, rare, parts, asked = [], [], [], [], [], []
+            kinds = [c.type for c in b.columns[:-1]]
             for group in grouped(b.column(b.num_columns - 1).to_pylist()):
-                if len(memo) > MAX_MEMO:
-                    memo.clear()
-                pending = []
                 for t in group:
                     tokens = split(t)
                     at = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
                     hit = at >= 0
                     tail = Counter(tokens[i] for i in np.flatnonzero(~hit))
                     at = at[hit]
-                    pending.append(tail)
                     n.append(len(tokens) + 1)
                     known.append(len(at) + (1 if model_documents else 0))
                     own.append(float(by_word[at].sum()) + end)
-                    score.append(float(by_model[at].sum()) + trie.document)
-                new = list(set().union(*pending).difference(memo))
-                memo.update(zip(new, trie.scores(new).tolist(), strict=True))
-                for i, tail in enumerate(pending, len(score) - len(pending)):
-                    score[i] += sum(memo[w] * k for w, k in tail.items())
                     rare.append([{"word": w, "tf": k} for w, k in tail.items()])
-                for w in new:
-                    if len(w) > 64:
-                        del memo[w]
+                parts += [part] * len(group)
+                key = grams(group)[0]
+                size += len(key)
+                keys.append(np.unique(key))
+                held += len(keys[-1])
+                if held > MERGE_GRAMS + known_grams:
+                    keys = [np.unique(np.concatenate(keys))]
+                    known_grams = held = len(keys[0])
+                if size >= PART_SYMBOLS:
+                    asked.append((part, np.unique(np.concatenate(keys))))
+                    part, size, keys, held, known_grams = part + 1, 0, [], 0, 0
             tails = pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))
+            nothing = pa.nulls(b.num_rows, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(own, pa.float64()), pa.array(score, pa.float64()), tails],
-                [*keep, "n_tokens", "known", "own", "score", "rare"],
+                [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(own, pa.float64()), tails, b.column(b.num_columns - 1), pa.array(parts, pa.int64()), nothing], names
             )
+            for p, key in asked:
+                yield asking(kinds, tails.type, p, key)
+        if keys:
+            yield asking(kinds, tails.type, part, np.unique(np.concatenate(keys)))
+
+    def asking(kinds: list[pa.DataType], tail: pa.DataType, part: int, key: np.ndarray) -> pa.RecordBatch:
+        """The row of a part's distinct grams, which has no text."""
+        nulls = [pa.nulls(1, k) for k in (*kinds, pa.int64(), pa.int64(), pa.float64(), tail, pa.string())]
+        return pa.RecordBatch.from_arrays([*nulls, pa.array([part], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(key)], pa.int32()), pa.array(key))], names)
+
+    low = model.low
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Logs of the grams that parts ask for, from all counts with the same two symbols before the last."""
+        own = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not own:
+            return
+        key, n, part = (np.concatenate(c) for c in zip(*own, strict=True))
+        counted = part < 0
+        contexts, total = all_orders(key[counted], n[counted], 2)
+        trie = Trie(np.r_[low[0], contexts], np.r_[low[1], total])
+        part, (key, back) = part[~counted], np.unique(key[~counted], return_inverse=True)
+        log = np.concatenate([trie.logs(key[i : i + 250_000]) for i in range(0, len(key), 250_000)] or [np.zeros(0)])
+        for i in range(0, len(part), 100_000):
+            at = back[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part[i : i + 100_000]), pa.array(key[at]), pa.array(log[at])], ["__part", "key", "log"])
+
+    def total(texts: pa.Table, logs: pa.Table) -> pa.Table:
+        key, log = logs.column("key").to_numpy(), logs.column("log").to_numpy()
+        order = np.argsort(key)
+        key, log, found = key[order], log[order], []
+        for group in grouped(texts.column("__text").to_pylist()):
+            asked, own = grams(group)
+            wanted, back = np.unique(asked, return_inverse=True)
+            found.append(np.bincount(own, log[np.searchsorted(key, wanted)][back], len(group)))
+        scores = pa.array(np.concatenate(found) if found else np.zeros(0))
+        return texts.drop_columns(["__text", "__part"]).append_column("score", scores)
 
     model_documents = model.documents
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    made = rows.mapInArrow(run, f"{kept}, n_tokens long, known long, own double, score double, rare array<struct<word: binary, tf: long>>")
-    made = materialize(made.withColumn("__row", F.monotonically_increasing_id()), "scored")
-    tails = made.select("__row", F.explode("rare").alias("x")).select("__row", "x.word", "x.tf")
+    made = rows.mapInArrow(run, f"{kept}, n_tokens long, known long, own double, rare array<struct<word: binary, tf: long>>, __text string, __part long, __grams array<long>")
+    made = materialize(made.withColumn("__row", F.monotonically_increasing_id()), "words")
+    texts = made.where("__text IS NOT NULL").drop("__grams")
+    asked = made.where("__grams IS NOT NULL").select(F.explode("__grams").alias("key"), F.lit(0).cast("long").alias("n"), "__part")
+    logs = _by_suffix(model.grams.withColumn("__part", F.lit(-1).cast("long")).unionByName(asked)).mapInArrow(answer, "__part long, key long, log double")
+    narrow = texts.drop("rare")
+    scored = narrow.groupBy("__part").cogroup(logs.groupBy("__part")).applyInArrow(total, f"{kept}, n_tokens long, known long, own double, __row long, score double")
+    tails = texts.select("__row", F.explode("rare").alias("x")).select("__row", "x.word", "x.tf")
     seen = tails.join(model.counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     sums = seen.groupBy("__row").agg(F.sum(F.col("tf") * (F.log10(F.col("c") + 0.5) - F.lit(base))).alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("tail_known"))
-    out = made.drop("rare").join(sums, "__row", "left")
+    out = scored.join(sums, "__row", "left")
     return out.select(
         *keep,
         "n_tokens",

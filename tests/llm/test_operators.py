@@ -345,6 +345,19 @@ def test_ppm_probabilities(spark):
     assert ppm.score(empty(spark), ppm.train(train.where("false")), ["doc_id"]).count() == 0
 
 
+def test_ppm_keeps_rare_contexts(spark):
+    from citegraph.llm import ppm
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["the", "of", "and"]) if rng.random() < 0.8 else "".join(rng.choices("abcde", k=5)) for _ in range(60)) for _ in range(30)]
+    frame = spark.createDataFrame(rows(*texts, "zzz abcde", "é the"), SCHEMA)
+    train = frame.where("doc_id < 20").select("text")
+    got = [{r.doc_id: r.score for r in ppm.score(frame, ppm.train(train, share), ["doc_id"]).collect()} for share in (1e-6, 0.02)]
+    assert got[0].keys() == got[1].keys() and all(math.isclose(got[0][i], got[1][i], rel_tol=1e-9) for i in got[0])
+    grams = Counter(ppm.grams(texts[:20])[0].tolist())
+    assert {r.key: r.n for r in ppm.train(train).grams.collect()} == grams
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
 
