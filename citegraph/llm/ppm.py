@@ -1,7 +1,8 @@
 """Language-model scores by prediction by partial matching (PPM).
 
-The model is a trie of byte contexts inside tokens: a token is its bytes and an end mark, and the contexts of a byte are
-up to ORDER symbols before it, back to the start of its token; the end of a document is one more symbol after a start.
+The model is a trie of byte contexts over whole texts: a text is the bytes of its words, each with an end mark for the
+blank after it, and one more symbol for its end. The contexts of a symbol are up to ORDER symbols before it, across
+words, back to the start of the text.
 A symbol is predicted by the longest context in the trie; an unseen one costs an escape (method C: as likely as the
 context has different symbols), and shorter contexts leave out the symbols of the longer ones. So the symbols'
 probabilities add up to one, and a text's score is the sum of its symbols' logs.
@@ -20,6 +21,7 @@ each, and count each in training. Without training documents the model is unifor
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -28,7 +30,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegraph.llm.common import fold_of, materialize, ship, table
@@ -36,11 +38,11 @@ from citegraph.llm.tokens import grouped
 
 FOLDS, HELD_OUT = 5, 1
 ORDER, SHARE = 5, 1e-6
-#: Symbols: bytes, the end of a token, the end of a document; and the start, which is only ever context.
+#: Symbols: bytes, the end of a word, the end of a document; and the start, which is only ever context.
 END, DOCUMENT, START = 256, 257, 258
 ALPHABET = 258
 WIDTH = 9
-MAX_COUNTER, PART_SYMBOLS, MERGE_GRAMS = 500_000, 32_000_000, 1_500_000
+MAX_COUNTER, PART_SYMBOLS, MERGE_GRAMS, BUCKET_GRAMS = 500_000, 32_000_000, 1_000_000, 300_000
 #: A gram packs the ORDER symbols before one and itself; SUFFIX takes the two symbols before it.
 SYMBOL, SUFFIX = (1 << WIDTH) - 1, (1 << 2 * WIDTH) - 1
 
@@ -84,29 +86,30 @@ def context_counts(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray,
     return unique, np.bincount(back, np.concatenate(weights), len(unique)).astype(np.int64)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The gram of every symbol of the texts, and which text it belongs to."""
-    words = [split(t) for t in texts]
-    pieces = [w for own in words for w in (*own, b"")]
-    n_pieces = np.fromiter((len(own) + 1 for own in words), np.int64, len(words))
-    owner = np.repeat(np.arange(len(texts)), n_pieces)
-    last = np.full(len(pieces), END)
-    last[np.cumsum(n_pieces) - 1] = DOCUMENT
+def stream(words: list[bytes]) -> bytes:
+    """The words with a blank after each."""
+    return b" ".join([*words, b""])
+
+
+def grams(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of every symbol of the streams, and which stream it belongs to."""
     lens = np.fromiter(map(len, pieces), np.int64, len(pieces)) + ORDER + 1
     ends = np.cumsum(lens)
-    symbols = np.full(int(lens.sum()), START, np.int64)
+    symbols = np.full(int(lens.sum()), START, np.int16)
     byte = np.ones(len(symbols), bool)
     byte[ends - 1] = False
     for k in range(ORDER):
         byte[ends - lens + k] = False
-    symbols[byte] = np.frombuffer(b"".join(pieces), np.uint8)
-    symbols[ends - 1] = last
+    own = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int16)
+    own[own == ord(" ")] = END  # words hold no blank
+    symbols[byte] = own
+    symbols[ends - 1] = DOCUMENT
     key = np.zeros(max(0, len(symbols) - ORDER), np.int64)
     for k in range(ORDER + 1):
         key <<= WIDTH
         key |= symbols[k : k + len(key)]
     real = symbols[ORDER:] != START
-    return key[real], np.repeat(owner, lens)[ORDER:][real]
+    return key[real], np.repeat(np.arange(len(pieces), dtype=np.int32), lens - ORDER)
 
 
 def all_orders(keys: np.ndarray, counts: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -246,8 +249,21 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _by_suffix(df: DataFrame) -> DataFrame:
-    return df.repartition(F.shiftright("key", WIDTH).bitwiseAND(SUFFIX))
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit values, compressed byte by byte."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, n: int, kind: type) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(packed, n * 8, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).view(kind).ravel()
+
+
+def _spread(key: np.ndarray | Column) -> np.ndarray | Column:
+    """A number that grams with the same two symbols before the last share."""
+    if isinstance(key, Column):
+        return F.shiftright(F.shiftright(key, WIDTH).bitwiseAND(SUFFIX) * F.lit(2654435761), 15)
+    return ((key >> WIDTH & SUFFIX) * 2654435761) >> 15
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
@@ -257,7 +273,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
         keys, counts, held, known = [], [], 0, 0
         for b in batches:
             for group in grouped(b.column(0).to_pylist()):
-                key, n = np.unique(grams(group)[0], return_counts=True)
+                key, n = np.unique(grams([stream(split(t)) for t in group])[0], return_counts=True)
                 keys.append(key)
                 counts.append(n)
                 held += len(key)
@@ -276,7 +292,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
         if own:
             yield pa.RecordBatch.from_arrays([*map(pa.array, _merged(*map(list, zip(*own, strict=True))))], ["key", "n"])
 
-    return materialize(_by_suffix(texts.mapInArrow(run, "key long, n long")).mapInArrow(add, "key long, n long"), "grams")
+    return materialize(texts.mapInArrow(run, "key long, n long").repartition(_spread(F.col("key"))).mapInArrow(add, "key long, n long"), "grams")
 
 
 def train(texts: DataFrame, share: float = SHARE) -> Model:
@@ -305,18 +321,55 @@ def score(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> D
     place = {w: i for i, w in enumerate(words)}
     by_word = np.log10(np.fromiter(model.frequent.values(), float, len(words)) + 0.5) - base
     end = float(np.log10(model.documents + 0.5) - base)
-    names = [*keep, "n_tokens", "known", "own", "rare", "__text", "__part", "__grams"]
+    n_buckets = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-model.grams.count() // BUCKET_GRAMS))
+    names = [*keep, "n_tokens", "known", "own", "rare", "__row", "__part", "__texts", "__asked"]
+    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
+    asked_type = pa.list_(pa.struct([("bucket", pa.int64()), ("size", pa.int64()), ("keys", pa.binary())]))
+    texts_type = pa.list_(pa.struct([("row", pa.int64()), ("lens", pa.list_(pa.int64())), ("body", pa.binary())]))
+
+    class Part:
+        """Compressed texts and distinct grams of neighbouring rows."""
+
+        def __init__(self, number: int):
+            self.number, self.symbols, self.texts, self.keys, self.held, self.least = number, 0, [], [], 0, MERGE_GRAMS
+
+        def add(self, row: int, pieces: list[bytes]) -> None:
+            body = b"".join(pieces)
+            self.texts.append({"row": row, "lens": list(map(len, pieces)), "body": pa.compress(body, codec="zstd", asbytes=True)})
+            self.symbols += len(body) + len(pieces)
+            self.keys.append(np.unique(grams(pieces)[0]))
+            self.held += len(self.keys[-1])
+            if self.held > self.least:
+                self.merge()
+
+        def merge(self) -> None:
+            self.keys = [np.unique(np.concatenate(self.keys))]
+            self.held = len(self.keys[0])
+            self.least = self.held + MERGE_GRAMS
+
+        def row(self, kinds: list[pa.DataType]) -> pa.RecordBatch:
+            """A row without a document: the part's texts, and its grams by the bucket that answers them."""
+            self.merge()
+            key = self.keys[0]
+            bucket = _spread(key) % n_buckets
+            order = np.argsort(bucket, kind="stable")
+            key, numbers, first = key[order], *np.unique(bucket[order], return_index=True)
+            asked = [{"bucket": int(b), "size": len(own), "keys": _pack(np.diff(own, prepend=0))} for b, own in zip(numbers, np.split(key, first[1:]), strict=True)]
+            nulls = [pa.nulls(1, k) for k in (*kinds, pa.int64(), pa.int64(), pa.float64(), tail_type, pa.int64())]
+            return pa.RecordBatch.from_arrays([*nulls, pa.array([self.number], pa.int64()), pa.array([self.texts], texts_type), pa.array([asked], asked_type)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = place.get
-        part, size, keys, held, known_grams = TaskContext.get().partitionId() << 32, 0, [], 0, 0
-        kinds: list[pa.DataType] = []
+        base_row = row = TaskContext.get().partitionId() << 36
+        part = Part(base_row)
         for b in batches:
-            n, known, own, rare, parts, asked = [], [], [], [], [], []
+            n, known, own, rare, done = [], [], [], [], []
             kinds = [c.type for c in b.columns[:-1]]
             for group in grouped(b.column(b.num_columns - 1).to_pylist()):
+                pieces = []
                 for t in group:
                     tokens = split(t)
+                    pieces.append(stream(tokens))
                     at = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
                     hit = at >= 0
                     tail = Counter(tokens[i] for i in np.flatnonzero(~hit))
@@ -325,73 +378,72 @@ def score(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> D
                     known.append(len(at) + (1 if model_documents else 0))
                     own.append(float(by_word[at].sum()) + end)
                     rare.append([{"word": w, "tf": k} for w, k in tail.items()])
-                parts += [part] * len(group)
-                key = grams(group)[0]
-                size += len(key)
-                keys.append(np.unique(key))
-                held += len(keys[-1])
-                if held > MERGE_GRAMS + known_grams:
-                    keys = [np.unique(np.concatenate(keys))]
-                    known_grams = held = len(keys[0])
-                if size >= PART_SYMBOLS:
-                    asked.append((part, np.unique(np.concatenate(keys))))
-                    part, size, keys, held, known_grams = part + 1, 0, [], 0, 0
-            tails = pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))
-            nothing = pa.nulls(b.num_rows, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(own, pa.float64()), tails, b.column(b.num_columns - 1), pa.array(parts, pa.int64()), nothing], names
-            )
-            for p, key in asked:
-                yield asking(kinds, tails.type, p, key)
-        if keys:
-            yield asking(kinds, tails.type, part, np.unique(np.concatenate(keys)))
-
-    def asking(kinds: list[pa.DataType], tail: pa.DataType, part: int, key: np.ndarray) -> pa.RecordBatch:
-        """The row of a part's distinct grams, which has no text."""
-        nulls = [pa.nulls(1, k) for k in (*kinds, pa.int64(), pa.int64(), pa.float64(), tail, pa.string())]
-        return pa.RecordBatch.from_arrays([*nulls, pa.array([part], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(key)], pa.int32()), pa.array(key))], names)
+                part.add(row + len(n) - len(group), pieces)
+                if part.symbols >= PART_SYMBOLS:
+                    done.append(part.row(kinds))
+                    part = Part(part.number + 1)
+            columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(own, pa.float64()), pa.array(rare, tail_type), pa.array(np.arange(row, row + len(n)))]
+            nothing = [pa.nulls(b.num_rows, k) for k in (pa.int64(), texts_type, asked_type)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns, *nothing], names)
+            yield from done
+            row += len(n)
+        if part.texts:
+            yield part.row(kinds)
 
     low = model.low
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Logs of the grams that parts ask for, from all counts with the same two symbols before the last."""
-        own = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-        if not own:
+        counted, asked = [], []
+        for b in batches:
+            part = b.column(1).to_numpy()
+            real = part < 0
+            if real.any():
+                own = b.filter(pa.array(real))
+                counted.append((own.column(2).to_numpy(), own.column(3).to_numpy()))
+            asked += [(int(part[i]), b.column(3)[i].as_py(), b.column(4)[i].as_py()) for i in np.flatnonzero(~real)]
+        if not asked:
             return
-        key, n, part = (np.concatenate(c) for c in zip(*own, strict=True))
-        counted = part < 0
-        contexts, total = all_orders(key[counted], n[counted], 2)
+        key, n = (np.concatenate(c) for c in zip(*counted, strict=True)) if counted else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        contexts, total = all_orders(key, n, 2)
         trie = Trie(np.r_[low[0], contexts], np.r_[low[1], total])
-        part, (key, back) = part[~counted], np.unique(key[~counted], return_inverse=True)
-        log = np.concatenate([trie.logs(key[i : i + 250_000]) for i in range(0, len(key), 250_000)] or [np.zeros(0)])
-        for i in range(0, len(part), 100_000):
-            at = back[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part[i : i + 100_000]), pa.array(key[at]), pa.array(log[at])], ["__part", "key", "log"])
-
-    def total(texts: pa.Table, logs: pa.Table) -> pa.Table:
-        key, log = logs.column("key").to_numpy(), logs.column("log").to_numpy()
+        every = np.zeros(0, np.int64)
+        for at in range(0, len(asked), 64):
+            every = np.unique(np.concatenate([every, *(np.cumsum(_unpack(k, size, np.int64)) for _, size, k in asked[at : at + 64])]))
+        log = np.concatenate([trie.logs(every[i : i + 250_000]) for i in range(0, len(every), 250_000)])
+        for part, size, keys in asked:
+            found = _pack(log[np.searchsorted(every, np.cumsum(_unpack(keys, size, np.int64)))])
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([size]), pa.array([keys], pa.binary()), pa.array([found], pa.binary())], ["__part", "size", "keys", "logs"])
+
+    def total(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.to_pylist()
+        key = np.concatenate([np.cumsum(_unpack(a["keys"], a["size"], np.int64)) for a in answers])
+        log = np.concatenate([_unpack(a["logs"], a["size"], np.float64) for a in answers])
         order = np.argsort(key)
-        key, log, found = key[order], log[order], []
-        for group in grouped(texts.column("__text").to_pylist()):
-            asked, own = grams(group)
+        key, log, numbers, scores = key[order], log[order], [], []
+        for own in itertools.chain.from_iterable(t.as_py() for t in texts.column("__texts")):
+            ends = np.cumsum(own["lens"])
+            body = pa.decompress(own["body"], int(ends[-1]), codec="zstd", asbytes=True)
+            asked, owner = grams([body[e - n : e] for e, n in zip(ends.tolist(), own["lens"], strict=True)])
             wanted, back = np.unique(asked, return_inverse=True)
-            found.append(np.bincount(own, log[np.searchsorted(key, wanted)][back], len(group)))
-        scores = pa.array(np.concatenate(found) if found else np.zeros(0))
-        return texts.drop_columns(["__text", "__part"]).append_column("score", scores)
+            scores.append(np.bincount(owner, log[np.searchsorted(key, wanted)][back], len(ends)))
+            numbers.append(own["row"] + np.arange(len(ends)))
+        return pa.table({"__row": np.concatenate(numbers), "score": np.concatenate(scores)})
 
     model_documents = model.documents
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    made = rows.mapInArrow(run, f"{kept}, n_tokens long, known long, own double, rare array<struct<word: binary, tf: long>>, __text string, __part long, __grams array<long>")
-    made = materialize(made.withColumn("__row", F.monotonically_increasing_id()), "words")
-    texts = made.where("__text IS NOT NULL").drop("__grams")
-    asked = made.where("__grams IS NOT NULL").select(F.explode("__grams").alias("key"), F.lit(0).cast("long").alias("n"), "__part")
-    logs = _by_suffix(model.grams.withColumn("__part", F.lit(-1).cast("long")).unionByName(asked)).mapInArrow(answer, "__part long, key long, log double")
-    narrow = texts.drop("rare")
-    scored = narrow.groupBy("__part").cogroup(logs.groupBy("__part")).applyInArrow(total, f"{kept}, n_tokens long, known long, own double, __row long, score double")
-    tails = texts.select("__row", F.explode("rare").alias("x")).select("__row", "x.word", "x.tf")
+    extra = "__row long, __part long, __texts array<struct<row: long, lens: array<long>, body: binary>>, __asked array<struct<bucket: long, size: long, keys: binary>>"
+    made = materialize(rows.mapInArrow(run, f"{kept}, n_tokens long, known long, own double, rare array<struct<word: binary, tf: long>>, {extra}"), "words")
+    counted = model.grams.select(F.pmod(_spread(F.col("key")), F.lit(n_buckets)).alias("bucket"), F.lit(-1).cast("long").alias("__part"), "key", "n", F.lit(None).cast("binary").alias("keys"))
+    asked = made.where("__part IS NOT NULL").select("__part", F.explode("__asked").alias("x")).select("x.bucket", "__part", F.lit(0).cast("long").alias("key"), F.col("x.size").alias("n"), "x.keys")
+    answers = counted.union(asked).repartition(n_buckets, "bucket").mapInArrow(answer, "__part long, size long, keys binary, logs binary")
+    parts = made.where("__part IS NOT NULL").select("__part", "__texts")
+    scored = parts.groupBy("__part").cogroup(answers.groupBy("__part")).applyInArrow(total, "__row long, score double")
+    documents = made.where("__row IS NOT NULL").select(*keep, "n_tokens", "known", "own", "__row")
+    tails = made.where("__row IS NOT NULL").select("__row", F.explode("rare").alias("x")).select("__row", "x.word", "x.tf")
     seen = tails.join(model.counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     sums = seen.groupBy("__row").agg(F.sum(F.col("tf") * (F.log10(F.col("c") + 0.5) - F.lit(base))).alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("tail_known"))
-    out = scored.join(sums, "__row", "left")
+    out = documents.join(scored, "__row").join(sums, "__row", "left")
     return out.select(
         *keep,
         "n_tokens",

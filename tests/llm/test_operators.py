@@ -354,10 +354,50 @@ def test_ppm_keeps_rare_contexts(spark):
     train = frame.where("doc_id < 20").select("text")
     got = [{r.doc_id: r.score for r in ppm.score(frame, ppm.train(train, share), ["doc_id"]).collect()} for share in (1e-6, 0.02)]
     assert got[0].keys() == got[1].keys() and all(math.isclose(got[0][i], got[1][i], rel_tol=1e-9) for i in got[0])
-    grams = Counter(ppm.grams(texts[:20])[0].tolist())
+    grams = Counter(ppm.grams([ppm.stream(ppm.split(t)) for t in texts[:20]])[0].tolist())
     assert {r.key: r.n for r in ppm.train(train).grams.collect()} == grams
 
 
+def test_ppm_contexts_cross_words(spark):
+    from citegraph.llm import ppm
+
+    def stream(text):
+        return [*(ppm.END if c == 32 else c for c in "".join(w + " " for w in text.lower().split()).encode()), ppm.DOCUMENT]
+
+    texts = ["the old house by the river", "the old man and the old house", "by the river a man", "a b a b a b", "", "é à é"]
+    seen = {}
+    for t in texts:
+        own = [ppm.START, *stream(t)]
+        for i in range(1, len(own)):
+            for k in range(min(i, ppm.ORDER) + 1):
+                seen.setdefault(tuple(own[i - k : i]), Counter())[own[i]] += 1
+
+    def log(text):
+        own, total = [ppm.START, *stream(text)], 0.0
+        for i in range(1, len(own)):
+            out, p = set(), 1.0
+            for k in range(min(i, ppm.ORDER), -1, -1):
+                left = {s: c for s, c in seen.get(tuple(own[i - k : i]), {}).items() if s not in out}
+                if not left:
+                    continue
+                weight = sum(left.values()) + len(left)
+                if own[i] in left:
+                    p *= left[own[i]] / weight
+                    break
+                p *= len(left) / weight
+                out |= set(left)
+            else:
+                p /= ppm.ALPHABET - len(out)
+            total += math.log10(p)
+        return total
+
+    new = [*texts, "the river house", "house river the", "the old house the old house the old house", "zebra \t zoo", None]
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.doc_id: r.score for r in ppm.score(spark.createDataFrame(rows(*new), SCHEMA), ppm.train(train), ["doc_id"]).collect()}
+    assert len(got) == len(new) and all(math.isclose(got[i], log(t or ""), rel_tol=1e-9) for i, t in enumerate(new))
+    assert got[6] != got[7]
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
 
