@@ -31,7 +31,7 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe object select button head math canvas audio video noembed noframes xmp".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object select button head annotation annotation-xml canvas audio video noembed noframes xmp".split())
 #: Elements and names whose blocks are never content.
 NEVER = frozenset("nav header footer aside form menu dialog search".split())
 BAD_NAME = re.compile(
@@ -39,6 +39,8 @@ BAD_NAME = re.compile(
     r"cookies?|consent|gdpr|notice\w*|alert\w*|popup|modal|newsletter|subscribe\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|"
     r"comments?|comment\w*|disqus\w*|replies|reply|respond|copyright|legal|disclaimer|skip|pagination|pager|toolbar|tags?|meta)(?=$|[-_\s\d])"
 )
+#: What a name says an element has or lacks is not what it is: has-sidebar, layout--no-sidebar.
+MODIFIER = re.compile(r"(?:^|(?<=[-_\s]))(?:has|no|with|without)[-_]\S*")
 GOOD_NAME = re.compile(r"(?:^|[-_\s])(?:article\w*|content|main|post|entry|story|text|body|prose)(?=$|[-_\s\d])")
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 #: In page order the tie of neighbours, for each common part of two paths the tie by the tree, and the cost of what is never content.
@@ -72,7 +74,7 @@ def _judge(tag: str, raw: str, good: bool, never: bool, inside: bool) -> tuple[b
     names = f"{own.get('class', '')} {own.get('id', '')}".lower().strip()
     if tag in NEVER and not (inside and tag == "header") or own.get("role", "").lower() in BAD_ROLE:
         never = True
-    if names and tag not in ("html", "body", "article", "main") and BAD_NAME.search(names):
+    if names and tag not in ("html", "body", "article", "main") and BAD_NAME.search(MODIFIER.sub("", names)):
         never = True
     if re.search(r"(?:^|\s)hidden(?:$|[\s=])", raw) or own.get("aria-hidden") == "true" or _HIDDEN.search(own.get("style", "")):
         never = True
@@ -90,15 +92,17 @@ def blocks(html: str) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal current
+        good, never = stack[-1][2:]
+        within = next((x for x in reversed(stack) if x[0] in BLOCK), stack[0])
+        if never and not within[3]:
+            return  # a named advert or notice, or a hidden run, inside a paragraph
         if current is None:
             if not text.strip():
                 return
-            _, _, good, never = stack[-1]
-            inner = next((t for t, *_ in reversed(stack) if t in BLOCK), "")
-            current = Block(tuple(n for t, n, *_ in stack if t in BLOCK), inner, good, never)
+            current = Block(tuple(n for t, n, *_ in stack if t in BLOCK), within[0], good, never)
             out.append(current)
-        elif stack[-1][3] and not current.never:
-            return  # a named advert or notice inside a paragraph
+        elif good and text.strip():
+            current.good = True
         current.parts.append(text)
         current.links += len(text) if link else 0
 

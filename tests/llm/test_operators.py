@@ -207,6 +207,19 @@ def test_main_text():
         assert math.isclose(cost(minimum_cut(s, t, ties)), min(map(cost, itertools.product([False, True], repeat=n))), abs_tol=1e-9)
 
 
+def test_main_text_judges_blocks_not_inline_runs():
+    from citegraph.llm.html import main_text
+
+    prose = "a long text of the article that goes on for a while."
+    for inline in ("<span class='tag'>New</span>", "<a class='share' href=x>Share</a>", "<span hidden>x</span>", "<b aria-hidden='true'>x</b>", "<i style='display:none'>x</i>"):
+        assert main_text(f"<p>{inline} Here is {prose}</p>") == main_text(f"<p>Here is {prose} {inline}</p>") == f"Here is {prose}"
+    for name in ("layout has-sidebar", "no-sidebar", "layout--with-sidebar", "page without-ads"):
+        assert main_text(f"<div class='{name}'><p>Here is {prose}</p></div>") == f"Here is {prose}"
+    assert main_text(f"<div class='sidebar no-print'><p>Here is {prose}</p></div>") == main_text(f"<div hidden><p>Here is <b>{prose}</b></p></div>") == ""
+    formula = "<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='application/x-tex'>x=1</annotation></math>"
+    assert main_text(f"<p>Where {formula} is {prose}</p>") == f"Where x=1 is {prose}"
+
+
 def test_html_operator_rows(spark):
     from citegraph.llm.html import extract
 
