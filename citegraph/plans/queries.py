@@ -202,8 +202,7 @@ def iban_valid(m: Model) -> DataFrame:
 
 @query("SELECT doc_id, 0.0::DOUBLE AS risk FROM documents WHERE NOT regexp_matches(text, '[­​-‏]')")
 def risk_score_basic(m: Model) -> DataFrame:
-    d = m.table("documents")
-    return d.where(~T.has_invisible(F.col("text"))).select("doc_id", T.risk_score(F.col("text"), PHRASES).alias("risk"))
+    return m.table("documents").select("doc_id", T.risk_score(F.col("text"), PHRASES).alias("risk"))
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '+33612' || lpad(c_custkey::VARCHAR, 6, '0') WHEN 1 THEN '+33612' || lpad(c_custkey::VARCHAR, 6, '0') WHEN 2 THEN '+44' || lpad(c_custkey::VARCHAR, 8, '0') WHEN 3 THEN '+33' || lpad(c_custkey::VARCHAR, 9, '6') ELSE NULL END AS phone FROM customer""")
