@@ -18,11 +18,22 @@ def neighbours(relations: DataFrame, seeds: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-def met(people: DataFrame, most: int = 10) -> DataFrame:
-    """(src, dst, item_id) of all unordered pairs of an item's people, for items of at most so many."""
-    own = people.groupBy("item_id").agg(F.array_sort(F.slice(F.collect_set("entity_id"), 1, most + 1)).alias("own")).where(F.size("own") <= most)
-    first = own.select("item_id", "own", F.posexplode("own").alias("i", "src"))
-    return first.select("src", F.explode(F.slice("own", F.col("i") + 2, F.lit(most))).alias("dst"), "item_id")
+def met(people: DataFrame, most: int = 10, organizers: DataFrame | None = None) -> DataFrame:
+    """(src, dst, item_id) of all unordered pairs of an item's people, for items of at most so many.
+
+    organizers (item_id, organizer) count as people; a larger item relates its organizer to everyone else.
+    """
+    people = people.select("item_id", "entity_id")
+    if organizers is not None:
+        organizers = organizers.select("item_id", "organizer").where("organizer is not null").distinct()
+        people = people.unionByName(organizers.withColumnRenamed("organizer", "entity_id")).where("entity_id is not null").distinct()
+    own = people.groupBy("item_id").agg(F.array_sort(F.slice(F.collect_set("entity_id"), 1, most + 1)).alias("own"))
+    first = own.where(F.size("own") <= most).select("item_id", "own", F.posexplode("own").alias("i", "src"))
+    pairs = first.select("src", F.explode(F.slice("own", F.col("i") + 2, F.lit(most))).alias("dst"), "item_id")
+    if organizers is None:
+        return pairs
+    large = organizers.join(own.where(F.size("own") > most).select("item_id"), "item_id", "left_semi")
+    return pairs.unionByName(large.join(people, "item_id").where("entity_id <> organizer").select(F.col("organizer").alias("src"), F.col("entity_id").alias("dst"), "item_id"))
 
 
 def first_of(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:

@@ -80,6 +80,14 @@ def test_risk_covers_all_documents(spark, tmp_path):
     assert got == {0: 0.0, 1: 0.1, 2: 0.0, 3: 0.7, 4: 0.8}
 
 
+def test_large_meetings_relate_their_organizer(spark):
+    people = spark.createDataFrame([("big", f"p{i:02}") for i in range(12)] + [("small", "a"), ("small", "b"), ("none", None)] + [("lost", f"q{i:02}") for i in range(11)], "item_id string, entity_id string")
+    organizers = spark.createDataFrame([("big", "p03"), ("small", "c"), ("lost", None)], "item_id string, organizer string")
+    got = sorted((r.item_id, r.src, r.dst) for r in graph.met(people, 10, organizers).collect())
+    assert got == sorted([("big", "p03", f"p{i:02}") for i in range(12) if i != 3] + [("small", "a", "b"), ("small", "a", "c"), ("small", "b", "c")])
+    assert sorted((r.src, r.dst) for r in graph.met(people).collect()) == [("a", "b")]
+
+
 def test_parsers():
     assert parsers.html_text("<p>a &amp; b<script>x</script><p>c") == "a & b\nc"
     raw = io.BytesIO()
