@@ -7,10 +7,18 @@ as the document has elements, plus the darts. Two documents agree in a coordinat
 Jaccard similarity; with unit weights, that of the sets.
 
 Signatures are cut into bands; texts that share a band are compared on their exact sets of runs. A band's group is never
-paired with itself as a whole: each text is first compared with one leader of its groups, then those that are not yet in
-one class with a leader of the largest class in a group. What is still apart in a group is compared with ever more
-leaders, until each text has led, so that no link between different texts is lost to a limit. Equal texts are one text
-throughout. Classes are the connected components of the links, found by alternating stars.
+paired with itself as a whole, and yet no link in it is lost but for the classes' sake:
+
+1. Each text is compared with one hub: of its groups' most central texts (those with the largest groups) the first.
+2. Groups that are then still of several classes are compared in pairs if they are small.
+3. In a large one each text x is described by its difference D(x) to the group's hub p: the runs that x lacks and those
+   that p lacks. If x is not similar to p, a text y is similar to x only if they share more than
+   ``(1 - w) * lacking(y) + w * new(y)`` elements of D(y), with ``w = similarity / (1 + similarity)``: two texts with
+   different changes are less similar to each other than each to the hub. So y need be looked up only by the rarest
+   elements of D(y), all but that many, and elements that nobody shares are none. That leaves few pairs in a group of
+   thousands of near copies. The texts of one element are first compared with one hub again, then in pairs.
+
+Classes are the connected components of the links, found by alternating stars.
 
 Defined results: a text without words (null, empty, blank) is only a copy of an equal text; null counts as empty. A text
 of one to four words is one run. Repeated rows are copies. A class is named by its least id, null when none has an id.
@@ -25,16 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import materialize, ship, table
+from citegraph.llm.common import Tables, materialize, ship, table
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
-#: Rounds with one comparison a text after the first. Then: groups up to this size are compared at once; expected leaders
-#: of larger ones in the first round, and their growth.
-HUB_ROUNDS, WHOLE_GROUP, LEADERS, GROWTH = 1, 16, 4, 16
+#: Groups up to this size are compared in pairs.
+WHOLE_GROUP = 16
 #: Bits of the filter that tells which texts are candidates: 2 MB, however many there are.
 FILTER_BITS = 24
 
@@ -199,99 +206,116 @@ def _is_stars(edges: DataFrame) -> bool:
     return odd.isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """(key, root) of every node of edges (a, b) that is not its component's least, by alternating large and small stars."""
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "stars")
+    now = tables.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "stars")
     while not _is_stars(now):
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-least")
-        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "stars")
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "star-least")
+        least = tables.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-least")
+        large = tables.write(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "stars")
+        least = tables.write(large.groupBy("a").agg(F.min("b").alias("m")), "star-least")
         joined = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = materialize(joined.select("e.*").where("a > b").distinct(), "stars")
+        now = tables.write(joined.select("e.*").where("a > b").distinct(), "stars")
     return now.select(F.col("a").alias("key"), F.col("b").alias("root"))
 
 
-def _verified(keyed: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def _near(a: str, b: str, similarity: float) -> Column:
+    """Whether sets of so many elements can be similar."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+
+
+def _verified(runs: DataFrame, pairs: DataFrame, similarity: float, tables: Tables) -> DataFrame:
     """The pairs (a, b) of different texts whose sets of runs are similar."""
-    if pairs.isEmpty():
-        return pairs.select("a", "b", F.lit(0.0).alias("similarity"))
-    runs = materialize(_runs(keyed, _filter(pairs.select("a").union(pairs.select("b")).toDF("key"))), "runs")
     with_a = pairs.join(runs.select(F.col("key").alias("a"), F.col("runs").alias("ra")), "a")
     with_b = with_a.join(runs.select(F.col("key").alias("b"), F.col("runs").alias("rb")), "b")
     common = F.size(F.array_intersect("ra", "rb"))
-    good = with_b.select("a", "b", common.alias("c"), (F.size("ra") + F.size("rb") - common).alias("all")).where(F.col("c") >= similarity * F.col("all"))
-    return materialize(good.select("a", "b", (F.col("c") / F.col("all")).alias("similarity")), "links")
+    good = with_b.select("a", "b", common.alias("c"), (F.size("ra") + F.size("rb") - common).alias("all"))
+    good = good.select("a", "b", (F.col("c") / F.col("all")).alias("similarity")).where(F.col("similarity") >= similarity - 1e-9)
+    return tables.write(good, "links")
 
 
-def _order(seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key"), 11) / F.lit(2.0**53)
+def _one_each(frame: DataFrame, tables: Tables) -> DataFrame:
+    """For each key the pair with the first of its hubs (score, key)."""
+    picked = frame.groupBy("key").agg(F.max(F.struct("hub.score", "hub.key")).alias("hub"))
+    return tables.write(picked.select(F.greatest("key", "hub.key").alias("a"), F.least("key", "hub.key").alias("b")).distinct(), "candidates")
 
 
-def _one_each(frame: DataFrame, lead: Column) -> DataFrame:
-    """For each text the first of its candidates lead (order, key)."""
-    picked = frame.groupBy("key").agg(F.min(lead).alias("lead"))
-    return materialize(picked.select(F.greatest("key", "lead.key").alias("a"), F.least("key", "lead.key").alias("b")).distinct(), "candidates")
+def _mixed(rows: DataFrame, *group: str) -> DataFrame:
+    """The groups whose rows are of several classes."""
+    return rows.groupBy(*group).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*group)
 
 
-def _links(keyed: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame | None, DataFrame]:
-    """The links between different texts, and the (key, root) of their components.
+def _differences(rows: DataFrame, runs: DataFrame, similarity: float, tables: Tables) -> DataFrame:
+    """A row for each element of a text's difference to its group's hub that another text's difference has too.
 
-    First rounds compare each text with one other: the first of its groups' leaders, then a text of the largest class in
-    one of its groups. They join nearly all that belongs together; the last rounds leave no pair in a group that is
-    neither compared nor in one class.
+    (p, key, n, root, score, near, first, e): near tells whether the text is similar to the hub p, first whether e is
+    among those by which the text must be found.
     """
+    level = F.floor(F.log(F.col("n")) / F.lit(math.log(1 / similarity))).cast("int")  # similar sets are one level apart at most
+    parted = rows.withColumn("level", F.explode(F.array(level, level + 1)))
+    parted = tables.write(parted.join(_mixed(parted, "bucket", "level"), ["bucket", "level"]), "levels")
+    hubs = parted.groupBy("bucket", "level").agg(F.max(F.struct("score", "key")).alias("hub"))
+    pairs = parted.join(hubs, ["bucket", "level"]).select(F.col("hub.key").alias("p"), "key", "n", "root", "score").where("p <> key").distinct()
+    both = pairs.join(runs, "key").join(runs.select(F.col("key").alias("p"), F.col("runs").alias("p_runs")), "p")
+    both = both.withColumns({"new": F.array_except("runs", "p_runs"), "lost": F.array_except("p_runs", "runs")})
+    both = both.withColumns({"n_new": F.size("new"), "n_lost": F.size("lost"), "np": F.size("p_runs")})
+    near = (F.col("n") - F.col("n_new")) >= similarity * (F.col("np") + F.col("n_new")) - 1e-9
+    elements = F.concat(F.transform("new", lambda e: e.cast("long") * 2), F.transform("lost", lambda e: e.cast("long") * 2 + 1))
+    weight = similarity / (1 + similarity)
+    shared = F.floor((1 - weight) * F.col("n_lost") + weight * F.col("n_new") - 1e-9) + 1
+    size = F.col("n_lost") + F.col("n_new")
+    made = both.select("p", "key", "n", "root", "score", near.alias("near"), size.alias("size"), (size - shared + 1).alias("must"), F.explode(elements).alias("e"))
+    made = tables.write(made, "differences")
+    often = made.groupBy("p", "e").agg(F.count("*").alias("often")).where("often > 1")
+    own = Window.partitionBy("p", "key")
+    # Elements of one text alone come first in its order of rarity, and find nobody.
+    place = F.row_number().over(own.orderBy("often", "e")) + F.col("size") - F.count("*").over(own)
+    found = made.join(often, ["p", "e"]).withColumn("first", place <= F.col("must"))
+    return tables.write(found.select("p", "key", "n", "root", "score", "near", "first", "e"), "postings")
+
+
+def _links(keyed: DataFrame, texts: DataFrame, similarity: float, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """The links between different texts that make their classes, and the (key, root) of the classes."""
     members = texts.where("n > 0").select("key", "n", F.explode("bands").alias("bucket"))
-    lead = F.min(F.struct(_order(0).alias("order"), "key", "n")).alias("hub")
-    groups = materialize(members.groupBy("bucket").agg(F.count("*").alias("size"), lead).where("size > 1"), "groups")
-    members = materialize(members.join(groups, "bucket"), "members")
-
-    def near(other: str) -> Column:
-        return F.least(F.col("n"), F.col(f"{other}.n")) >= similarity * F.greatest(F.col("n"), F.col(f"{other}.n"))
-
-    pairs = _one_each(members.where((F.col("key") != F.col("hub.key")) & near("hub")), F.struct("hub.order", "hub.key"))
-    links = _verified(keyed, pairs, similarity)
-    roots = components(links.select("a", "b"))
-    members = members.drop("hub")
-
-    def labelled() -> tuple[DataFrame, DataFrame]:
-        rows = materialize(members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "members")
-        mixed = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        return rows, materialize(mixed, "groups")
-
-    for seed in range(1, HUB_ROUNDS + 1):
-        rows, mixed = labelled()
-        rows = materialize(rows.join(mixed, "bucket"), "members")  # groups of one class are done
-        members = rows.drop("root")
-        if rows.isEmpty():
-            return links, roots
-        classes = rows.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.min(F.struct(_order(seed).alias("order"), "key", "n")).alias("hub"))
-        top = materialize(classes.groupBy("bucket").agg(F.max(F.struct("c", "root", "hub")).alias("top")).select("bucket", F.col("top.root").alias("top_root"), F.col("top.hub").alias("hub")), "leaders")
-        apart = rows.join(top, "bucket").where((F.col("root") != F.col("top_root")) & near("hub"))
-        good = _verified(keyed, _one_each(apart, F.struct("hub.order", "hub.key")), similarity)
-        if not good.isEmpty():
-            links = links.unionByName(good)
-            roots = components(roots.toDF("a", "b").union(good.select("a", "b")))
-
-    below, share = 0.0, float(LEADERS)
-    while True:
-        rows, mixed = labelled()
-        size, whole = F.col("size"), F.col("size") <= WHOLE_GROUP
-        rows = rows.join(mixed, "bucket").where(~whole | F.lit(below == 0)).where(F.lit(below) < size).withColumn("order", _order(0))
-        rows = materialize(rows, "members")
-        members = rows.drop("root", "order")
-        if rows.isEmpty():
-            return links, roots
-        leads = (whole | (F.col("order") < F.lit(share) / size)) & (F.col("order") >= F.lit(below) / size)
-        x = rows.select("bucket", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-        y = materialize(rows.where(leads).select("bucket", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry")), "leaders")
-        apart = x.join(y, "bucket").where((F.col("rx") != F.col("ry")) & (F.least("nx", "ny") >= similarity * F.greatest("nx", "ny")))
-        pairs = materialize(apart.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "candidates")
-        good = _verified(keyed, pairs, similarity)
-        if not good.isEmpty():
-            links = links.unionByName(good)
-            roots = components(roots.toDF("a", "b").union(good.select("a", "b")))
-        below, share = share, share * GROWTH
+    groups = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = tables.write(members.join(groups, "bucket"), "members")
+    runs = tables.write(_runs(keyed, _filter(members.select("key"))), "runs")
+    members = tables.write(members.join(members.groupBy("key").agg(F.sum("size").alias("score")), "key"), "members")
+
+    hubs = members.groupBy("bucket").agg(F.max(F.struct("score", "key", "n")).alias("hub"))
+    first = members.join(hubs, "bucket").where((F.col("key") != F.col("hub.key")) & _near("n", "hub.n", similarity))
+    links = _verified(runs, _one_each(first, tables), similarity, tables)
+    roots = components(links.select("a", "b"), tables)
+
+    def join(more: DataFrame) -> None:
+        nonlocal links, roots
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(roots.toDF("a", "b").union(more.select("a", "b")), tables)
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+    rows = rooted(members)
+    rows = tables.write(rows.join(_mixed(rows, "bucket"), "bucket"), "members")
+    small = rows.where(F.col("size") <= WHOLE_GROUP)
+    other = small.select("bucket", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    pairs = small.join(other, "bucket").where((F.col("key") > F.col("b")) & (F.col("root") != F.col("rb")) & _near("n", "nb", similarity))
+    pairs = tables.write(pairs.select(F.col("key").alias("a"), "b").distinct(), "candidates")
+    large = rows.where(F.col("size") > WHOLE_GROUP).select("bucket", "key", "n", "root", "score")
+    posts = _differences(large, runs, similarity, tables)
+    to_hub = posts.where("near").select(F.greatest("p", "key").alias("a"), F.least("p", "key").alias("b")).distinct()
+    leads = posts.where("first").groupBy("p", "e").agg(F.max(F.struct("near", "score", "key", "n", "root")).alias("hub"))
+    apart = posts.where("NOT near").join(leads, ["p", "e"]).where((F.col("root") != F.col("hub.root")) & _near("n", "hub.n", similarity))
+    join(_verified(runs, pairs.union(to_hub).union(_one_each(apart, tables)).distinct(), similarity, tables))
+
+    posts = tables.write(rooted(posts.drop("root")), "postings")
+    x = posts.where("NOT near").select("p", "e", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("first").alias("fx"))
+    y = posts.where("first").select("p", "e", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("near").alias("near_y"))
+    pairs = x.join(y, ["p", "e"]).where((F.col("rx") != F.col("ry")) & (F.col("near_y") | F.col("fx") & (F.col("x") > F.col("y"))) & _near("nx", "ny", similarity))
+    pairs = tables.write(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "candidates")
+    join(_verified(runs, pairs, similarity, tables))
+    return links, roots
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -301,16 +325,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     """
     ship(df.sparkSession)
     keyed = _keyed(df, key, text)
-    texts = materialize(_texts(keyed), "texts")
-    links, roots = _links(keyed, texts, similarity)
-    ids = keyed.select("id", "key").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
-    ids = materialize(ids.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "text-classes")
-    best = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("least"), F.col("key").alias("key")))
-    classes = materialize(ids.groupBy("root").agg(best.alias("best"), F.sum("rows").alias("class_size")), "classes")
-    out = ids.join(classes, "root").select(
-        F.col("key").alias("text_key"), F.col("best.least").alias("class_id"), (F.col("best.key") == F.col("key")).alias("winner"), F.col("rows").alias("copies"), "class_size"
-    )
-    return materialize(out, "text-classes"), links
+    with Tables(df.sparkSession, "near-duplicates") as tables:
+        texts = tables.write(_texts(keyed), "texts")
+        links, roots = _links(keyed, texts, similarity, tables)
+        ids = keyed.select("id", "key").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
+        ids = tables.write(ids.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "text-classes")
+        best = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("least"), F.col("key").alias("key")))
+        classes = ids.groupBy("root").agg(best.alias("best"), F.sum("rows").alias("class_size"))
+        out = ids.join(classes, "root").select(
+            F.col("key").alias("text_key"), F.col("best.least").alias("class_id"), (F.col("best.key") == F.col("key")).alias("winner"), F.col("rows").alias("copies"), "class_size"
+        )
+        return materialize(out, "text-classes"), materialize(links, "links")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,21 +136,8 @@ def test_plan_is_whole_and_tight(kind):
         assert plan.sequences == 500
 
 
-def test_near_duplicates_match_brute_force(spark):
-    from citegraph.llm.neardup import keep_one, near_duplicates
-
-    rng = random.Random(2)
-    words = [f"w{i}" for i in range(500)]
-    bases = [[rng.choice(words) for _ in range(rng.randint(3, 120))] for _ in range(40)]
-    texts = []
-    for b in bases:
-        for _ in range(rng.randint(1, 6)):
-            own = list(b)
-            for _ in range(rng.randint(0, 2)):
-                own[rng.randrange(len(own))] = rng.choice(words)
-            texts.append(" ".join(own))
-    texts += [None, "", "", texts[0], texts[0].upper(), " ", "one", "one"]
-    frame = spark.createDataFrame(rows(*texts), SCHEMA)
+def classes_by_brute_force(texts):
+    """The least row of each row's class: all pairs of sets of five-word runs."""
 
     def runs(t):
         w = (t or "").lower().split()
@@ -168,6 +155,26 @@ def test_near_duplicates_match_brute_force(spark):
         if same or sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
             a, b = sorted((find(i), find(j)))
             root[b] = a
+    return find
+
+
+def test_near_duplicates_match_brute_force(spark):
+    from citegraph.llm.neardup import keep_one, near_duplicates
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(500)]
+    bases = [[rng.choice(words) for _ in range(rng.randint(3, 120))] for _ in range(40)]
+    texts = []
+    for b in bases:
+        for _ in range(rng.randint(1, 6)):
+            own = list(b)
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append(" ".join(own))
+    texts += [None, "", "", texts[0], texts[0].upper(), " ", "one", "one"]
+    frame = spark.createDataFrame(rows(*texts), SCHEMA)
+
+    find = classes_by_brute_force(texts)
     classes, _ = near_duplicates(frame)
     from citegraph.llm.neardup import _keyed
 
@@ -179,6 +186,34 @@ def test_near_duplicates_match_brute_force(spark):
     assert keep_one(empty(spark)).count() == 0
 
 
+def test_large_groups_of_near_copies_lose_no_link(spark):
+    from citegraph.llm.neardup import _keyed, near_duplicates
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(110)]
+    texts = [" ".join(base)]
+    for _ in range(420):
+        own = list(base)
+        for _ in range(rng.randint(1, 5)):  # some changes are shared by copies, so that links run past the first text
+            at = rng.randrange(12) * 9 if rng.random() < 0.6 else rng.randrange(len(own))
+            change, at = rng.random(), min(at, len(own) - 1)
+            if change < 0.6:
+                own[at] = f"x{rng.randrange(3)}" if rng.random() < 0.7 else rng.choice(words)
+            elif change < 0.8:
+                del own[at : at + rng.randint(1, 12)]
+            else:
+                own.insert(at, rng.choice(words))
+        texts.append(" ".join(own))
+    find = classes_by_brute_force(texts)
+    frame = spark.createDataFrame(rows(*texts), SCHEMA)
+    classes, links = near_duplicates(frame)
+    got = {r.id: r.class_id for r in _keyed(frame, "doc_id", "text").join(classes.withColumnRenamed("text_key", "key"), "key").collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    sizes = Counter(got.values()).values()
+    assert max(sizes) > 100 and len(sizes) > 20 and links.count() < 8 * len(texts)
+
+
 def test_signatures_estimate_weighted_similarity():
     from citegraph.llm.neardup import signature
 
