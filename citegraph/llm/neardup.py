@@ -15,8 +15,9 @@ paired with itself as a whole, and yet no link in it is lost but for the classes
    that p lacks. If x is not similar to p, a text y is similar to x only if they share more than
    ``(1 - w) * lacking(y) + w * new(y)`` elements of D(y), with ``w = similarity / (1 + similarity)``: two texts with
    different changes are less similar to each other than each to the hub. So y need be looked up only by the rarest
-   elements of D(y), all but that many, and elements that nobody shares are none. That leaves few pairs in a group of
-   thousands of near copies. The texts of one element are first compared with one hub again, then in pairs.
+   elements of D(y), all but that many, and elements that nobody shares are none. The sizes of the differences bound what
+   two texts share, too. That leaves few pairs in a group of thousands of near copies. The texts of one element are first
+   compared with one hub again, then in pairs.
 
 Classes are the connected components of the links, found by alternating stars.
 
@@ -248,8 +249,9 @@ def _mixed(rows: DataFrame, *group: str) -> DataFrame:
 def _differences(rows: DataFrame, runs: DataFrame, similarity: float, tables: Tables) -> DataFrame:
     """A row for each element of a text's difference to its group's hub that another text's difference has too.
 
-    (p, key, n, root, score, near, first, e): near tells whether the text is similar to the hub p, first whether e is
-    among those by which the text must be found.
+    (p, key, n, root, score, near, first, e, cost, lost, new): near tells whether the text is similar to the hub p, first
+    whether e is among those by which the text must be found; two texts are similar if they share as many elements as
+    their costs add up to, and they share no more than the lesser of their shared runs lost and new.
     """
     level = F.floor(F.log(F.col("n")) / F.lit(math.log(1 / similarity))).cast("int")  # similar sets are one level apart at most
     parted = rows.withColumn("level", F.explode(F.array(level, level + 1)))
@@ -262,16 +264,19 @@ def _differences(rows: DataFrame, runs: DataFrame, similarity: float, tables: Ta
     near = (F.col("n") - F.col("n_new")) >= similarity * (F.col("np") + F.col("n_new")) - 1e-9
     elements = F.concat(F.transform("new", lambda e: e.cast("long") * 2), F.transform("lost", lambda e: e.cast("long") * 2 + 1))
     weight = similarity / (1 + similarity)
-    shared = F.floor((1 - weight) * F.col("n_lost") + weight * F.col("n_new") - 1e-9) + 1
+    changed = (1 - weight) * F.col("n_lost") + weight * F.col("n_new")
+    shared = F.floor(changed - 1e-9) + 1
+    cost = changed - (0.5 - weight) * F.col("np")
     size = F.col("n_lost") + F.col("n_new")
-    made = both.select("p", "key", "n", "root", "score", near.alias("near"), size.alias("size"), (size - shared + 1).alias("must"), F.explode(elements).alias("e"))
+    made = both.select("p", "key", "n", "root", "score", near.alias("near"), size.alias("size"), (size - shared + 1).alias("must"), cost.alias("cost"), F.explode(elements).alias("e"))
     made = tables.write(made, "differences")
     often = made.groupBy("p", "e").agg(F.count("*").alias("often")).where("often > 1")
     own = Window.partitionBy("p", "key")
     # Elements of one text alone come first in its order of rarity, and find nobody.
     place = F.row_number().over(own.orderBy("often", "e")) + F.col("size") - F.count("*").over(own)
-    found = made.join(often, ["p", "e"]).withColumn("first", place <= F.col("must"))
-    return tables.write(found.select("p", "key", "n", "root", "score", "near", "first", "e"), "postings")
+    lost = F.sum(F.pmod("e", F.lit(2))).over(own)
+    found = made.join(often, ["p", "e"]).withColumns({"first": place <= F.col("must"), "lost": lost, "new": F.count("*").over(own) - lost})
+    return tables.write(found.select("p", "key", "n", "root", "score", "near", "first", "e", "cost", "lost", "new"), "postings")
 
 
 def _links(keyed: DataFrame, texts: DataFrame, similarity: float, tables: Tables) -> tuple[DataFrame, DataFrame]:
@@ -310,10 +315,13 @@ def _links(keyed: DataFrame, texts: DataFrame, similarity: float, tables: Tables
     join(_verified(runs, pairs.union(to_hub).union(_one_each(apart, tables)).distinct(), similarity, tables))
 
     posts = tables.write(rooted(posts.drop("root")), "postings")
-    x = posts.where("NOT near").select("p", "e", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("first").alias("fx"))
-    y = posts.where("first").select("p", "e", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("near").alias("near_y"))
-    pairs = x.join(y, ["p", "e"]).where((F.col("rx") != F.col("ry")) & (F.col("near_y") | F.col("fx") & (F.col("x") > F.col("y"))) & _near("nx", "ny", similarity))
-    pairs = tables.write(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "candidates")
+    names = ["key", "n", "root", "near", "first", "cost", "lost", "new"]
+    x = posts.where("NOT near").select("p", "e", *[F.col(c).alias(f"{c}_x") for c in names])
+    y = posts.where("first").select("p", "e", *[F.col(c).alias(f"{c}_y") for c in names])
+    once = F.col("near_y") | F.col("first_x") & (F.col("key_x") > F.col("key_y"))
+    enough = F.least("lost_x", "lost_y") + F.least("new_x", "new_y") >= F.col("cost_x") + F.col("cost_y") - 1e-9
+    pairs = x.join(y, ["p", "e"]).where((F.col("root_x") != F.col("root_y")) & once & enough & _near("n_x", "n_y", similarity))
+    pairs = tables.write(pairs.select(F.greatest("key_x", "key_y").alias("a"), F.least("key_x", "key_y").alias("b")).distinct(), "candidates")
     join(_verified(runs, pairs, similarity, tables))
     return links, roots
 
