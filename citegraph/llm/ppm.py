@@ -9,10 +9,10 @@ probabilities add up to one, and a text's score is the sum of its symbols' logs.
 
 Training counts every context of all training documents; none is dropped, so the model grows with the corpus. A symbol's
 probability depends on its GRAM alone, the ORDER symbols before it and itself, so the counts are one written table of
-grams. Orders 0 and 1, which the alphabet bounds, are sent to all tasks; higher orders stay in the table and are
-partitioned by the two symbols before the predicted one, since a context and all that it escapes to share them. Texts
-are scored in parts of about PART_SYMBOLS: a part asks for its distinct grams once, and gets their logs back by a join.
-Words with a share of SHARE and more of all tokens, at most 1 / SHARE of them, are sent to all tasks for the base score;
+grams. A gram's log is made where all counts with the same two symbols before the last meet, since a context and all that
+it escapes to share them; orders 0 and 1, which the alphabet bounds, are sent there. The logs of the most frequent grams,
+at most FREQUENT_GRAMS, are sent to all tasks that score; what they find no log for is joined with the table. Words are
+treated alike for the base score: those with a share of SHARE and more of all tokens, at most 1 / SHARE of them, are sent,
 rarer ones are joined with the table of counts.
 
 Defined results: a null or empty text is the end token alone. A null id has the fold of ''. Repeated rows are scored
@@ -21,7 +21,6 @@ each, and count each in training. Without training documents the model is unifor
 
 from __future__ import annotations
 
-import itertools
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -42,7 +41,8 @@ ORDER, SHARE = 5, 1e-6
 END, DOCUMENT, START = 256, 257, 258
 ALPHABET = 258
 WIDTH = 9
-MAX_COUNTER, PART_SYMBOLS, MERGE_GRAMS, BUCKET_GRAMS = 500_000, 32_000_000, 1_000_000, 300_000
+FREQUENT_GRAMS = 1_000_000
+MAX_COUNTER, MERGE_GRAMS, BUCKET_GRAMS = 500_000, 1_000_000, 300_000
 #: A gram packs the ORDER symbols before one and itself; SUFFIX takes the two symbols before it.
 SYMBOL, SUFFIX = (1 << WIDTH) - 1, (1 << 2 * WIDTH) - 1
 
@@ -219,10 +219,13 @@ class Trie:
 
 
 class Model(NamedTuple):
-    """What scoring needs: the table of grams, (key, count) of orders 0 and 1, frequent words, all words, and the totals."""
+    """What scoring needs: the table of grams and how many, (key, count) of orders 0 and 1, (key, log) of frequent grams,
+    frequent words, all words, and the totals."""
 
     grams: DataFrame
+    types_of_grams: int
     low: tuple[np.ndarray, np.ndarray]
+    logs: tuple[np.ndarray, np.ndarray]
     frequent: dict[bytes, int]
     counts: DataFrame
     tokens: int
@@ -249,16 +252,6 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """64-bit values, compressed byte by byte."""
-    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(packed: bytes, n: int, kind: type) -> np.ndarray:
-    raw = np.frombuffer(pa.decompress(packed, n * 8, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, n).T).view(kind).ravel()
-
-
 def _spread(key: np.ndarray | Column) -> np.ndarray | Column:
     """A number that grams with the same two symbols before the last share."""
     if isinstance(key, Column):
@@ -309,7 +302,91 @@ def train(texts: DataFrame, share: float = SHARE) -> Model:
     low = keys >> (WIDTH * (ORDER + 1)) < 2
     found = counts.where(F.col("c") >= share * max(1, tokens)).select("word", "c").toPandas()  # at most 1 / share rows
     frequent = dict(zip(map(bytes, found["word"]), map(int, found["c"]), strict=True))
-    return Model(counted, (keys[low], n[low]), frequent, counts, tokens + documents, types + (1 if documents else 0), documents)
+    least, total = _least_count(counted)
+    model = Model(counted, total, (keys[low], n[low]), (np.zeros(0, np.int64), np.zeros(0)), frequent, counts, tokens + documents, types + (1 if documents else 0), documents)
+    logs = gram_logs(model, counted.where(F.col("n") >= least).select("key")).toPandas()
+    return model._replace(logs=(logs["key"].to_numpy(np.int64), logs["log"].to_numpy(float)))
+
+
+def _least_count(counted: DataFrame) -> tuple[float, int]:
+    """The count that at most FREQUENT_GRAMS grams reach, in steps of a sixteenth, and the number of all grams."""
+    step = F.floor(F.log2("n") * 16)
+    sizes = sorted(((r["step"], r["size"]) for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("size")).collect()), reverse=True)
+    reached, least = 0, float("inf")
+    for at, size in sizes:
+        reached += size
+        if reached > FREQUENT_GRAMS:
+            break
+        least = 2.0 ** (at / 16) * (1 - 1e-9)
+    return least, sum(size for _, size in sizes)
+
+
+def gram_logs(model: Model, wanted: DataFrame) -> DataFrame:
+    """(key, log10 probability of the last symbol after the others) of distinct grams."""
+    low = model.low
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [(b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
+        if not own:
+            return
+        key, n = map(np.concatenate, zip(*own, strict=True))
+        asked = key[n == 0]
+        contexts, total = all_orders(key[n > 0], n[n > 0], 2)
+        trie = Trie(np.r_[low[0], contexts], np.r_[low[1], total])
+        for i in range(0, len(asked), 250_000):
+            part = asked[i : i + 250_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(trie.logs(part))], ["key", "log"])
+
+    buckets = max(16, int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-model.types_of_grams // BUCKET_GRAMS))
+    rows = model.grams.select("key", "n").union(wanted.select("key", F.lit(0).cast("long")))
+    dealt = rows.select(F.pmod(_spread(F.col("key")), F.lit(buckets)).alias("bucket"), "key", "n").repartition(buckets, "bucket")
+    return dealt.mapInArrow(answer, "key long, log double")
+
+
+class Lookup:
+    """Values of integer keys by hashed arrays: keys that lost their place in one array go to the next, smaller one."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
+        while len(keys) or not self.levels:
+            bits = len(keys).bit_length() + 1
+            slot = self._slot(keys, bits)
+            own, value = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+            own[slot], value[slot] = keys, values
+            self.levels.append((bits, own, value))
+            left = own[slot] != keys
+            keys, values = keys[left], values[left]
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+        spread = (keys * np.int64(0x1E3779B97F4A7C15 + 2 * bits)).view(np.uint64)
+        return (spread >> np.uint64(64 - bits)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys' values, 0 for those that are not there, and the places of these."""
+        bits, own, value = self.levels[0]
+        slot = self._slot(keys, bits)
+        out = value[slot]
+        todo = np.flatnonzero(own[slot] != keys)
+        for bits, own, value in self.levels[1:]:
+            key = keys[todo]
+            slot = self._slot(key, bits)
+            hit = own[slot] == key
+            out[todo[hit]] = value[slot[hit]]
+            todo = todo[~hit]
+        out[todo] = 0.0
+        return out, todo
+
+
+def _listed(owner: np.ndarray, keys: np.ndarray, n: int) -> pa.ListArray:
+    """For each of n texts its distinct grams (key, tf)."""
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
+    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])]) if len(keys) else np.zeros(0, np.int64)
+    tf = np.diff(np.r_[first, len(keys)])
+    ends = np.cumsum(np.bincount(owner[first], minlength=n))
+    entries = pa.StructArray.from_arrays([pa.array(keys[first]), pa.array(tf)], ["key", "tf"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), entries)
 
 
 def score(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
@@ -321,50 +398,16 @@ def score(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> D
     place = {w: i for i, w in enumerate(words)}
     by_word = np.log10(np.fromiter(model.frequent.values(), float, len(words)) + 0.5) - base
     end = float(np.log10(model.documents + 0.5) - base)
-    n_buckets = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-model.grams.count() // BUCKET_GRAMS))
-    names = [*keep, "n_tokens", "known", "own", "rare", "__row", "__part", "__texts", "__asked"]
-    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
-    asked_type = pa.list_(pa.struct([("bucket", pa.int64()), ("size", pa.int64()), ("keys", pa.binary())]))
-    texts_type = pa.list_(pa.struct([("row", pa.int64()), ("lens", pa.list_(pa.int64())), ("body", pa.binary())]))
-
-    class Part:
-        """Compressed texts and distinct grams of neighbouring rows."""
-
-        def __init__(self, number: int):
-            self.number, self.symbols, self.texts, self.keys, self.held, self.least = number, 0, [], [], 0, MERGE_GRAMS
-
-        def add(self, row: int, pieces: list[bytes]) -> None:
-            body = b"".join(pieces)
-            self.texts.append({"row": row, "lens": list(map(len, pieces)), "body": pa.compress(body, codec="zstd", asbytes=True)})
-            self.symbols += len(body) + len(pieces)
-            self.keys.append(np.unique(grams(pieces)[0]))
-            self.held += len(self.keys[-1])
-            if self.held > self.least:
-                self.merge()
-
-        def merge(self) -> None:
-            self.keys = [np.unique(np.concatenate(self.keys))]
-            self.held = len(self.keys[0])
-            self.least = self.held + MERGE_GRAMS
-
-        def row(self, kinds: list[pa.DataType]) -> pa.RecordBatch:
-            """A row without a document: the part's texts, and its grams by the bucket that answers them."""
-            self.merge()
-            key = self.keys[0]
-            bucket = _spread(key) % n_buckets
-            order = np.argsort(bucket, kind="stable")
-            key, numbers, first = key[order], *np.unique(bucket[order], return_index=True)
-            asked = [{"bucket": int(b), "size": len(own), "keys": _pack(np.diff(own, prepend=0))} for b, own in zip(numbers, np.split(key, first[1:]), strict=True)]
-            nulls = [pa.nulls(1, k) for k in (*kinds, pa.int64(), pa.int64(), pa.float64(), tail_type, pa.int64())]
-            return pa.RecordBatch.from_arrays([*nulls, pa.array([self.number], pa.int64()), pa.array([self.texts], texts_type), pa.array([asked], asked_type)], names)
+    end_known = 1 if model.documents else 0
+    logs = model.logs
+    names = [*keep, "n_tokens", "known", "own", "rare", "sum", "grams", "__row"]
+    word_type = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = place.get
-        base_row = row = TaskContext.get().partitionId() << 36
-        part = Part(base_row)
+        get, frequent = place.get, Lookup(*logs)
+        row = TaskContext.get().partitionId() << 36
         for b in batches:
-            n, known, own, rare, done = [], [], [], [], []
-            kinds = [c.type for c in b.columns[:-1]]
+            n, known, own, rare, sums, lists = [], [], [], [], [], []
             for group in grouped(b.column(b.num_columns - 1).to_pylist()):
                 pieces = []
                 for t in group:
@@ -375,81 +418,32 @@ def score(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> D
                     tail = Counter(tokens[i] for i in np.flatnonzero(~hit))
                     at = at[hit]
                     n.append(len(tokens) + 1)
-                    known.append(len(at) + (1 if model_documents else 0))
+                    known.append(len(at) + end_known)
                     own.append(float(by_word[at].sum()) + end)
                     rare.append([{"word": w, "tf": k} for w, k in tail.items()])
-                part.add(row + len(n) - len(group), pieces)
-                if part.symbols >= PART_SYMBOLS:
-                    done.append(part.row(kinds))
-                    part = Part(part.number + 1)
-            columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(own, pa.float64()), pa.array(rare, tail_type), pa.array(np.arange(row, row + len(n)))]
-            nothing = [pa.nulls(b.num_rows, k) for k in (pa.int64(), texts_type, asked_type)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns, *nothing], names)
-            yield from done
+                keys, owner = grams(pieces)
+                log, other = frequent.find(keys)
+                sums.append(np.bincount(owner, log, len(group)))
+                lists.append(_listed(owner[other], keys[other], len(group)))
+            columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(own, pa.float64()), pa.array(rare, word_type), pa.array(np.concatenate(sums)), pa.concat_arrays(lists), pa.array(np.arange(row, row + len(n)))]
             row += len(n)
-        if part.texts:
-            yield part.row(kinds)
-
-    low = model.low
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names)
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Logs of the grams that parts ask for, from all counts with the same two symbols before the last."""
-        counted, asked = [], []
-        for b in batches:
-            part = b.column(1).to_numpy()
-            real = part < 0
-            if real.any():
-                own = b.filter(pa.array(real))
-                counted.append((own.column(2).to_numpy(), own.column(3).to_numpy()))
-            asked += [(int(part[i]), b.column(3)[i].as_py(), b.column(4)[i].as_py()) for i in np.flatnonzero(~real)]
-        if not asked:
-            return
-        key, n = (np.concatenate(c) for c in zip(*counted, strict=True)) if counted else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        contexts, total = all_orders(key, n, 2)
-        trie = Trie(np.r_[low[0], contexts], np.r_[low[1], total])
-        every = np.zeros(0, np.int64)
-        for at in range(0, len(asked), 64):
-            every = np.unique(np.concatenate([every, *(np.cumsum(_unpack(k, size, np.int64)) for _, size, k in asked[at : at + 64])]))
-        log = np.concatenate([trie.logs(every[i : i + 250_000]) for i in range(0, len(every), 250_000)])
-        for part, size, keys in asked:
-            found = _pack(log[np.searchsorted(every, np.cumsum(_unpack(keys, size, np.int64)))])
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([size]), pa.array([keys], pa.binary()), pa.array([found], pa.binary())], ["__part", "size", "keys", "logs"])
-
-    def total(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.to_pylist()
-        key = np.concatenate([np.cumsum(_unpack(a["keys"], a["size"], np.int64)) for a in answers])
-        log = np.concatenate([_unpack(a["logs"], a["size"], np.float64) for a in answers])
-        order = np.argsort(key)
-        key, log, numbers, scores = key[order], log[order], [], []
-        for own in itertools.chain.from_iterable(t.as_py() for t in texts.column("__texts")):
-            ends = np.cumsum(own["lens"])
-            body = pa.decompress(own["body"], int(ends[-1]), codec="zstd", asbytes=True)
-            asked, owner = grams([body[e - n : e] for e, n in zip(ends.tolist(), own["lens"], strict=True)])
-            wanted, back = np.unique(asked, return_inverse=True)
-            scores.append(np.bincount(owner, log[np.searchsorted(key, wanted)][back], len(ends)))
-            numbers.append(own["row"] + np.arange(len(ends)))
-        return pa.table({"__row": np.concatenate(numbers), "score": np.concatenate(scores)})
-
-    model_documents = model.documents
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    extra = "__row long, __part long, __texts array<struct<row: long, lens: array<long>, body: binary>>, __asked array<struct<bucket: long, size: long, keys: binary>>"
-    made = materialize(rows.mapInArrow(run, f"{kept}, n_tokens long, known long, own double, rare array<struct<word: binary, tf: long>>, {extra}"), "words")
-    counted = model.grams.select(F.pmod(_spread(F.col("key")), F.lit(n_buckets)).alias("bucket"), F.lit(-1).cast("long").alias("__part"), "key", "n", F.lit(None).cast("binary").alias("keys"))
-    asked = made.where("__part IS NOT NULL").select("__part", F.explode("__asked").alias("x")).select("x.bucket", "__part", F.lit(0).cast("long").alias("key"), F.col("x.size").alias("n"), "x.keys")
-    answers = counted.union(asked).repartition(n_buckets, "bucket").mapInArrow(answer, "__part long, size long, keys binary, logs binary")
-    parts = made.where("__part IS NOT NULL").select("__part", "__texts")
-    scored = parts.groupBy("__part").cogroup(answers.groupBy("__part")).applyInArrow(total, "__row long, score double")
-    documents = made.where("__row IS NOT NULL").select(*keep, "n_tokens", "known", "own", "__row")
-    tails = made.where("__row IS NOT NULL").select("__row", F.explode("rare").alias("x")).select("__row", "x.word", "x.tf")
+    made = rows.mapInArrow(run, f"{kept}, n_tokens long, known long, own double, rare array<struct<word: binary, tf: long>>, sum double, grams array<struct<key: long, tf: long>>, __row long")
+    made = materialize(made, "scored-parts")
+    asked = made.select("__row", F.explode("grams").alias("x")).select("__row", "x.key", "x.tf")
+    more = asked.join(gram_logs(model, asked.select("key").distinct()), "key").groupBy("__row").agg(F.sum(F.col("tf") * F.col("log")).alias("more"))
+    tails = made.select("__row", F.explode("rare").alias("x")).select("__row", "x.word", "x.tf")
     seen = tails.join(model.counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     sums = seen.groupBy("__row").agg(F.sum(F.col("tf") * (F.log10(F.col("c") + 0.5) - F.lit(base))).alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("tail_known"))
-    out = documents.join(scored, "__row").join(sums, "__row", "left")
+    out = made.drop("rare", "grams").join(more, "__row", "left").join(sums, "__row", "left")
     return out.select(
         *keep,
         "n_tokens",
         (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         (F.col("own") + F.coalesce("tail", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 
