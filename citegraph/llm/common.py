@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The separators of words in every contract: blank, tab to carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
+#: Bounds of an Arrow batch, where the session leaves Spark's own: a worker holds a few batches at once.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
 _shipped: set[str] = set()
+_kept: dict[str, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +72,9 @@ class Tables:
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once an application, so that their Python workers can import it."""
+    for name, bound, default in (("maxRecordsPerBatch", BATCH_ROWS, "10000"), ("maxBytesPerBatch", BATCH_BYTES, "268435456")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b") in (default, "2147483647"):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(bound))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -85,3 +96,29 @@ def text_of(column: str = "text") -> Column:
 def fold_of(doc_id: str = "doc_id") -> Column:
     """crc32 of the id's text, modulo 5: the contracts' folds. A null id has the text ''."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def task(operator: str, run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run as a task of an operator: what workers remember for other operators goes first, and free memory goes last."""
+
+    def whole(batches: Batches) -> Batches:
+        for other in [k for k in _kept if k != operator]:
+            del _kept[other]
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
+def kept(operator: str, build: Callable[[], object]) -> object:
+    """What a worker remembers from one task of an operator to the next."""
+    if operator not in _kept:
+        _kept[operator] = build()
+    return _kept[operator]

@@ -7,7 +7,8 @@ once: a passage whose terms' largest impacts do not reach the threshold is left,
 impacts do not, and only what remains is scored exactly. All items at or above the threshold are then held against the
 passage: the runs of words of the item's question and those of its answer (its last sentence) must both be there.
 
-The index is sent to all tasks. Its size is checked: items over INDEX_BYTES are searched in slices, a scan each.
+The index is sent to all tasks. Its size is checked: items over INDEX_BYTES are searched in slices, a scan each, with the
+frequencies and lengths of all items in each slice's scores.
 
 Defined results: null or empty texts are clean. Items without two words have no term and are never found. Repeated
 documents keep a row each; repeated items count once each. An empty benchmark leaves all clean. Only ids and texts are read.
@@ -18,13 +19,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import ship, table
+from citegraph.llm.common import materialize, ship, table, task
 from citegraph.llm.tokens import grouped
 
 THRESHOLD, K1, B, BLOCK = 0.4, 1.2, 0.75, 16
@@ -67,10 +69,26 @@ class Known(dict):
         return found
 
 
+class Statistics(NamedTuple):
+    """What scores take from all items: how many, their mean number of pairs, the longest one's words, items by pair."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+
+def pairs_of(words: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
 class Index:
-    """The inverted index: postings by term, largest impacts by term and by (term, block of items)."""
+    """The inverted index: postings by term, largest impacts by term and by (term, block of items).
+
+    statistics: of all items, where these are a slice of them.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
         kept = [(i, words_of(t), t) for i, t in items]
         kept = [x for x in kept if len(x[1]) > 1]
         self.ids = [i for i, _, _ in kept]
@@ -79,18 +97,23 @@ class Index:
             for w in words:
                 self.vocabulary.setdefault(w, len(self.vocabulary))
         self.size = len(self.vocabulary) + 1
-        self.stride = max(LEAST_STRIDE, max((len(w) for _, w, _ in kept), default=0))
+        self.stride = max(LEAST_STRIDE, statistics.longest if statistics else max((len(w) for _, w, _ in kept), default=0))
         counts = [Counter(self.vocabulary[a] * self.size + self.vocabulary[b] for a, b in zip(w, w[1:], strict=False)) for _, w, _ in kept]
         self.codes = np.array(sorted(set().union(*counts)) if counts else [], np.int64)
         at = {c: k for k, c in enumerate(self.codes.tolist())}
         n = max(1, len(kept))
         df = Counter(c for own in counts for c in own)
         mean = sum(sum(own.values()) for own in counts) / n or 1.0
+        every = n
+        if statistics:
+            words = list(self.vocabulary)
+            every, mean = statistics.items, statistics.mean
+            df = {c: statistics.df[f"{words[c // self.size]} {words[c % self.size]}"] for c in df}
         postings = []
         for item, own in enumerate(counts):
             length = sum(own.values())
             norm = K1 * (1 - B + B * length / mean)
-            impact = {c: np.log1p((n - df[c] + 0.5) / (df[c] + 0.5)) * f * (K1 + 1) / (f + norm) for c, f in own.items()}
+            impact = {c: np.log1p((every - df[c] + 0.5) / (df[c] + 0.5)) * f * (K1 + 1) / (f + norm) for c, f in own.items()}
             total = sum(impact.values())
             postings += [(at[c], item, v / total) for c, v in impact.items()]
         postings.sort()
@@ -190,14 +213,30 @@ class Index:
         return out
 
 
-def _slices(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items by slices of at most about INDEX_BYTES, each of which a task can hold."""
+def _slices(items: DataFrame) -> Iterator[tuple[list[tuple[int, str]], Statistics | None]]:
+    """The items by slices of at most about INDEX_BYTES, each of which a task can hold, with statistics of all if several."""
     texts = items.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // INDEX_BYTES) or 1
+    if n == 1:
+        yield [tuple(r) for r in texts.orderBy("item_id", "text").collect()], None
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [words_of(t) for t in b.column(1).to_pylist()]
+            counts, lens = [len(w) - 1 if len(w) > 1 else 0 for w in found], list(map(len, found))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(set(pairs_of(w))) for w in found], pa.list_(pa.string())), pa.array(counts, pa.int64()), pa.array(lens, pa.int64())], ["slice", "pairs", "n", "words"])
+
+    sliced = texts.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    made = materialize(sliced.select("slice", "text").mapInArrow(task("decontaminate", run), "slice long, pairs array<string>, n long, words long"), "benchmark-pairs")
+    count, mean, longest = made.where("n > 0").agg(F.count("*"), F.avg("n"), F.max("words")).first()
+    pairs = made.select("slice", F.explode("pairs").alias("pair"))
+    often = materialize(pairs.groupBy("pair").agg(F.count("*").alias("df")), "benchmark-frequencies")
     for k in range(n):
-        own = texts if n == 1 else texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [tuple(r) for r in own.orderBy("item_id", "text").collect()]
+        own = [tuple(r) for r in sliced.where(F.col("slice") == k).select("item_id", "text").orderBy("item_id", "text").collect()]
+        df = often.join(pairs.where(F.col("slice") == k).select("pair").distinct(), "pair").collect()
+        yield own, Statistics(count, mean or 1.0, longest or 0, dict(map(tuple, df)))
 
 
 def find_leaks(df: DataFrame, items: DataFrame, keep: list[str]) -> DataFrame:
@@ -205,12 +244,12 @@ def find_leaks(df: DataFrame, items: DataFrame, keep: list[str]) -> DataFrame:
     ship(df.sparkSession)
     rows = df.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    body = f"`__text` string, item_ids array<long>, score double"
+    body = "`__text` string, item_ids array<long>, score double"
     found = rows.withColumns({"item_ids": F.array().cast("array<long>"), "score": F.lit(0.0)})
-    for own in _slices(items):
+    for own, statistics in _slices(items):
 
-        def run(batches: Iterator[pa.RecordBatch], own: list[tuple[int, str]] = own) -> Iterator[pa.RecordBatch]:
-            index = Index(own)
+        def run(batches: Iterator[pa.RecordBatch], own: list[tuple[int, str]] = own, statistics: Statistics | None = statistics) -> Iterator[pa.RecordBatch]:
+            index = Index(own, statistics)
             known = Known(index.vocabulary)
             for b in batches:
                 texts = b.column(b.num_columns - 3).to_pylist()
@@ -219,7 +258,7 @@ def find_leaks(df: DataFrame, items: DataFrame, keep: list[str]) -> DataFrame:
                 best = [max([s, *x.values()]) for x, s in zip(leaks, b.column(b.num_columns - 1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], b.schema.names)
 
-        found = found.mapInArrow(run, f"{kept}, {body}")
+        found = found.mapInArrow(task("decontaminate", run), f"{kept}, {body}")
     return found.drop("__text")
 
 

@@ -1,9 +1,10 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page becomes a row of text blocks. A classifier gives each block a cost of being content and a cost of being
-boilerplate, from its element path, the names of classes and ids, link density, length and punctuation: these are the
-capacities to the two terminals. Neighbours in page order, and blocks whose elements are close in the tree, are tied by
-smoothness edges. A maximum flow saturates the cheapest cut, and the blocks on the source's side are the main text.
+boilerplate, from its element, the names of classes and ids around it, link density, length and punctuation: these are
+the capacities to the two terminals. Neighbours in page order, and blocks that are close in the tree, are tied by
+smoothness edges. A maximum flow saturates the cheapest cut, and the blocks on the source's side are the main text. So a
+short line inside an article stays, though alone it looks like boilerplate, and a lone sentence among links goes.
 
 What no reader sees or nobody wrote as the article (scripts, styles, forms, menus, page headers and footers, sidebars,
 notices, adverts, reader comments) has a cost that no tie outweighs.
@@ -16,15 +17,16 @@ only id, url and html are read.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import ship, table
+from citegraph.llm.common import ship, table, task
 
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -34,51 +36,90 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title svg iframe object select button head annotation annotation-xml canvas audio video noembed noframes xmp".split())
 #: Elements and names whose blocks are never content.
 NEVER = frozenset("nav header footer aside form menu dialog search".split())
+#: A class or id is bad as a whole, or by one of its parts between hyphens if no other part could mean an article's part.
 BAD_NAME = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|menu\w*|nav\w*|navbar|breadcrumbs?|header|masthead|footer|foot|sidebar\w*|side|widget\w*|"
-    r"cookies?|consent|gdpr|notice\w*|alert\w*|popup|modal|newsletter|subscribe\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|"
-    r"comments?|comment\w*|disqus\w*|replies|reply|respond|copyright|legal|disclaimer|skip|pagination|pager|toolbar|tags?|meta)(?=$|[-_\s\d])"
+    r"ads?|advert\w*|adsense|\w*banner|sponsor\w*|promo\w*|menu\w*|nav\w*|breadcrumbs?|header|masthead|footer|foot|sidebar\w*|side|widgets?|"
+    r"cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|recommendations|"
+    r"comments?|commentlist|disqus\w*|replies|reply|respond|copyright|legal|disclaimer|skip|pagination|pager|toolbar|tags?|tagcloud|meta|postmeta"
 )
+BAD_PART = re.compile(
+    r"ads?|advert\w*|adsense|banner|sponsor\w*|promo|menu|nav|navbar|navigation|breadcrumbs?|footer|sidebar|widget|cookies?|consent|gdpr|popup|modal|newsletter|"
+    r"signup|login|sharing|social|comments?|disqus|pagination|pager|toolbar"
+)
+#: Parts that are bad in company of these alone.
+BAD_PAIR = re.compile(r"(?:site|page|top|main|global)-(?:header|head)|(?:related|recommended)-(?:posts?|articles?|links?|content|stories|news|items|reading)|share-\w+|(?:legal|copy\w*)-(?:notice|info|links|text)|\w*-?notice|skip-\w+|(?:post|entry|article)-(?:meta|tags)|alert-\w+")
 #: What a name says an element has or lacks is not what it is: has-sidebar, layout--no-sidebar.
 MODIFIER = re.compile(r"(?:^|(?<=[-_\s]))(?:has|no|with|without)[-_]\S*")
 GOOD_NAME = re.compile(r"(?:^|[-_\s])(?:article\w*|content|main|post|entry|story|text|body|prose)(?=$|[-_\s\d])")
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
-#: In page order the tie of neighbours, for each common part of two paths the tie by the tree, and the cost of what is never content.
-NEAR, TREE, NEVER_COST = 0.6, 0.5, 1e6
+#: The tie of neighbours in page order, that of blocks in one element, and the cost of what is never content.
+NEAR, TREE, NEVER_COST = 0.9, 0.7, 1e6
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: One attribute, as browsers read it: quotes end a value only where they began it.
+_ATTRIBUTE = re.compile(r"[\s/]*(=?[^\s/>=]*)(?:\s*(=)\s*(?:\"([^\"]*)(\"?)|'([^']*)('?)|([^\s>\"'][^\s>]*)?))?")
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Block:
-    """A run of text inside one block element."""
+    """A run of text inside one block element; parent: the number of the block element around that."""
+
+    __slots__ = ("parts", "parent", "links", "good", "never", "tag", "text")
+
+    def __init__(self, parent: int, tag: str, good: bool, never: bool):
+        self.parts, self.parent, self.links, self.tag, self.good, self.never, self.text = [], parent, 0, tag, good, never, ""
+
 
-    __slots__ = ("parts", "path", "links", "good", "never", "tag", "text")
+class Open(NamedTuple):
+    """An open element: its number, whether its text is in a named content element, whether it is never content, whether
+    it is in an article, and the place on the stack of the nearest block element, itself included."""
 
-    def __init__(self, path: tuple[int, ...], tag: str, good: bool, never: bool):
-        self.parts, self.path, self.links, self.tag, self.good, self.never, self.text = [], path, 0, tag, good, never, ""
+    tag: str
+    number: int
+    good: bool
+    never: bool
+    inside: bool
+    block: int
 
 
-def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if "=" in raw else {}
+def _attributes(html: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes from at on, and the place after the tag: the end of the page if the tag has none."""
+    found: dict[str, str] = {}
+    while True:
+        m = _ATTRIBUTE.match(html, at)
+        name, value = m[1].lower(), m[3] if m[3] is not None else m[5] if m[5] is not None else m[7] or ""
+        if m[3] is not None and not m[4] or m[5] is not None and not m[6]:
+            return found, len(html)
+        if name:
+            found.setdefault(name, unescape(value))
+        at = m.end()
+        if at >= len(html):
+            return found, at
+        if html[at] == ">":
+            return found, at + 1
+        if m.end() == m.start():
+            at += 1
+
 
+def is_bad_name(name: str) -> bool:
+    """Whether a class or id is that of boilerplate."""
+    return bool(BAD_NAME.fullmatch(name) or BAD_PAIR.fullmatch(name.replace("_", "-")) or any(BAD_PART.fullmatch(p) for p in re.split(r"[-_]+|(?<=\D)(?=\d)", name)))
 
-def _judge(tag: str, raw: str, good: bool, never: bool, inside: bool) -> tuple[bool, bool]:
+
+def _judge(tag: str, own: dict[str, str], good: bool, never: bool, inside: bool) -> tuple[bool, bool]:
     """Whether the element's text is in a named content element, and whether it is never content.
 
-    A header or footer inside an article is judged by its name alone: it may hold the heading.
+    A header inside an article is judged by its name alone: it may hold the heading.
     """
-    own = _attributes(raw)
     names = f"{own.get('class', '')} {own.get('id', '')}".lower().strip()
     if tag in NEVER and not (inside and tag == "header") or own.get("role", "").lower() in BAD_ROLE:
         never = True
-    if names and tag not in ("html", "body", "article", "main") and BAD_NAME.search(MODIFIER.sub("", names)):
+    if names and tag not in ("html", "body", "article", "main") and any(map(is_bad_name, MODIFIER.sub("", names).split())):
         never = True
-    if re.search(r"(?:^|\s)hidden(?:$|[\s=])", raw) or own.get("aria-hidden") == "true" or _HIDDEN.search(own.get("style", "")):
+    if "hidden" in own or own.get("aria-hidden") == "true" or _HIDDEN.search(own.get("style", "")):
         never = True
-    if tag in ("article", "main") or names and GOOD_NAME.search(names) or own.get("role") == "main" or own.get("itemprop") == "articlebody":
+    if tag in ("article", "main") or names and GOOD_NAME.search(names) or own.get("role") == "main" or own.get("itemprop", "").lower() == "articlebody":
         good = True
     return good, never
 
@@ -86,51 +127,80 @@ def _judge(tag: str, raw: str, good: bool, never: bool, inside: bool) -> tuple[b
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in its order; character references are decoded, white space is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, number, good, never
+    stack = [Open("", 0, False, False, False, 0)]
+    opened: Counter = Counter()
+    ends: dict[str, re.Pattern] = {}
+    unclosed: set[str] = set()
     current: Block | None = None
-    number, at, end, link = 0, 0, len(html), 0
+    number, at, end = 0, 0, len(html)
 
     def add(text: str) -> None:
         nonlocal current
-        good, never = stack[-1][2:]
-        within = next((x for x in reversed(stack) if x[0] in BLOCK), stack[0])
-        if never and not within[3]:
+        top = stack[-1]
+        within = stack[top.block]
+        if top.never and not within.never:
             return  # a named advert or notice, or a hidden run, inside a paragraph
         if current is None:
             if not text.strip():
                 return
-            current = Block(tuple(n for t, n, *_ in stack if t in BLOCK), within[0], good, never)
+            parent = stack[stack[top.block - 1].block].number if top.block else 0
+            current = Block(parent, within.tag, top.good, top.never)
             out.append(current)
-        elif good and text.strip():
+        elif top.good and text.strip():
             current.good = True
         current.parts.append(text)
-        current.links += len(text) if link else 0
+        current.links += len(text) if opened["a"] else 0
+
+    def cut(place: int) -> None:
+        for gone in stack[place:]:
+            opened[gone.tag] -= 1
+        del stack[place:]
 
     while at < end:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            rest = html[at:]
-            tail = re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)
-            add(unescape(rest[: tail.start()] if tail else rest))
+        start = html.find("<", at)
+        if start < 0:
+            add(unescape(html[at:]))
             break
-        if m.start() > at:
-            add(unescape(html[at : m.start()]))
-        at = m.end()
-        tag, closing, raw = (m[2] or m[5] or "").lower(), (m[1] or m[4]) == "/", m[3] or ""
-        if not tag:
+        if start > at:
+            add(unescape(html[at:start]))
+        mark = html[start + 1 : start + 2]
+        if html.startswith("<!--", start):
+            close = html.find("-->", start + 2)
+            at = close + 3 if close >= 0 else end
             continue
+        if mark in ("!", "?"):
+            close = html.find(">", start)
+            at = close + 1 if close >= 0 else end
+            continue
+        closing = mark == "/"
+        name = _NAME.match(html, start + 1 + closing)
+        if not name:
+            if closing and start + 2 < end:
+                close = html.find(">", start)
+                at = close + 1 if close >= 0 else end
+            else:
+                add("<" if not closing else "</")
+                at = start + 1 + closing
+            continue
+        tag = name[0].lower()
+        own, at = _attributes(html, name.end())
         if tag in BLOCK:
             current = None
         if closing:
-            if any(t == tag for t, *_ in stack[1:]) and tag not in VOID:
-                while stack[-1][0] != tag:
-                    link -= stack.pop()[0] == "a"
-                link -= stack.pop()[0] == "a"
+            if opened[tag] > 0 and tag not in VOID:
+                place = len(stack) - 1
+                while stack[place].tag != tag:
+                    place -= 1
+                cut(place)
             elif tag == "br":
                 add(" ")
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
+            close = None
+            if tag not in unclosed:
+                close = ends.setdefault(tag, re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I)).search(html, at)
+            if close is None:
+                unclosed.add(tag)  # nor will a later one find its end
             if close or tag in ("script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"):
                 at = close.end() if close else end
             continue
@@ -139,24 +209,22 @@ def blocks(html: str) -> list[Block]:
                 add(" ")
             continue
         if tag in BLOCK:  # an open paragraph or item ends where the next block begins, with what is open inside it
-            ends = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
+            ended = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
             stop = {"li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}.get(tag, ("dl",))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p" or stack[i][0] in ends:
-                    for gone in stack[i:]:
-                        link -= gone[0] == "a"
-                    del stack[i:]
-                    if stack[-1][0] in BLOCK or len(stack) == 1:
-                        break
-                elif stack[i][0] in BLOCK and (not ends or stack[i][0] in stop):
+            place = stack[-1].block
+            while place:
+                if stack[place].tag == "p" or stack[place].tag in ended:
+                    cut(place)
+                elif not ended or stack[place].tag in stop:
                     break
+                place = stack[place - 1].block
         number += 1
-        good, never = stack[-1][2], stack[-1][3]
-        inside = any(t in ("article", "main") for t, *_ in stack)
-        if raw or tag in NEVER or tag in ("article", "main"):
-            good, never = _judge(tag, raw, good, never, inside)
-        stack.append((tag, number, good, never))
-        link += tag == "a"
+        top = stack[-1]
+        good, never = top.good, top.never
+        if own or tag in NEVER or tag in ("article", "main"):
+            good, never = _judge(tag, own, good, never, top.inside)
+        stack.append(Open(tag, number, good, never, top.inside or tag in ("article", "main"), len(stack) if tag in BLOCK else top.block))
+        opened[tag] += 1
     for b in out:
         b.text = _SPACE.sub(" ", "".join(b.parts)).strip()
     return [b for b in out if b.text]
@@ -168,11 +236,11 @@ def costs(block: Block, has_good: bool) -> tuple[float, float]:
         return 0.0, NEVER_COST
     words = block.text.count(" ") + 1
     density = min(1.0, block.links / max(1, len(block.text)))
-    score = 0.4 + min(2.0, words / 20) - 4.0 * density * (words < 40)
+    score = min(2.0, words / 20) - 0.4 - 3.0 * density * (words < 40)
     score += 0.5 * (block.text[-1] in ".!?…:;\"'»”")
-    score += {"h1": 1.5, "h2": 1.0, "h3": 1.0, "h4": 0.8, "p": 0.8, "blockquote": 0.8, "pre": 0.8, "li": -0.3, "td": -0.2}.get(block.tag, 0.0)
+    score += {"h1": 1.2, "h2": 0.6, "h3": 0.6, "h4": 0.4, "p": 0.3, "blockquote": 0.3, "pre": 0.3, "li": -0.2, "td": -0.2}.get(block.tag, 0.0)
     if has_good:
-        score += 4.0 if block.good else -3.0
+        score += 0.8 if block.good else -2.0
     return max(score, 0.0), max(-score, 0.0)
 
 
@@ -244,11 +312,10 @@ def main_text(html: str) -> str:
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            ties.append((i - 1, i, NEAR))
-        parent = b.path[-2] if len(b.path) > 1 else 0
-        if parent in last and last[parent] != i - 1:
-            ties.append((last[parent], i, TREE))
-        last[parent] = i
+            ties.append((i - 1, i, NEAR if b.good == found[i - 1].good else NEAR / 3))
+        if b.parent in last:
+            ties.append((last[b.parent], i, TREE))
+        last[b.parent] = i
     kept = minimum_cut([a for a, _ in pairs], [b for _, b in pairs], ties)
     # A free node, with no cost either way, stays with what cost says: content if it is not on the sink's side.
     return "\n".join(b.text for b, k, (a, c) in zip(found, kept, pairs, strict=True) if k and not b.never)
@@ -265,7 +332,7 @@ def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(run, f"{kept}, text string, n_chars long")
+    return rows.mapInArrow(task("html", run), f"{kept}, text string, n_chars long")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import Tables, materialize, ship, table
+from citegraph.llm.common import Tables, materialize, ship, table, task
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
@@ -165,7 +165,7 @@ def _texts(df: DataFrame) -> DataFrame:
                 ["key", "n", "bands"],
             )
 
-    made = df.select("key", "body").mapInArrow(run, "key binary, n long, bands array<long>")
+    made = df.select("key", "body").mapInArrow(task("neardup", run), "key binary, n long, bands array<long>")
     return made.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
 
 
@@ -183,7 +183,7 @@ def _runs(df: DataFrame, wanted: bytes) -> DataFrame:
                     seen[k] = np.unique(shingles(t.as_py()).astype(np.uint32)).view(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.list_(pa.int32()))], ["key", "runs"])
 
-    made = df.select("key", "body", _bit("key").alias("bit")).mapInArrow(run, "key binary, runs array<int>")
+    made = df.select("key", "body", _bit("key").alias("bit")).mapInArrow(task("neardup", run), "key binary, runs array<int>")
     return made.groupBy("key").agg(F.first("runs").alias("runs"))
 
 

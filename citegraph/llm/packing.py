@@ -25,14 +25,13 @@ from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import materialize, ship, table
+from citegraph.llm.common import kept, materialize, ship, table, task
 from citegraph.llm.tokens import PieceCache, PreTokens, vocabulary_path
 
 CAPACITY = 2048
@@ -45,13 +44,11 @@ BUCKET_ROWS, MIN_BUCKETS = 100_000, 64
 MAX_COLUMNS = 400
 
 
-@lru_cache(maxsize=2)
 def _ids(path: str) -> PieceCache:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    specials = sorted(t.content for t in tokenizer.get_added_tokens_decoder().values())
     ends = np.zeros(tokenizer.get_vocab_size(), bool)
     ends[[i for word, i in tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
 
@@ -72,12 +69,15 @@ def _ids(path: str) -> PieceCache:
                 out += [encoded(w).tobytes() for w in own]
         return out
 
-    return PieceCache(PreTokens(specials), of, b"".join, lambda mark: encoded(mark).tobytes())
+    def whole(pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    return PieceCache(PreTokens(path), of, b"".join, lambda mark: encoded(mark).tobytes(), whole)
 
 
 def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian 32-bit numbers, by the library; tokens never span a blank or line feed."""
-    return map(b"".join, _ids(path).values(texts))
+    return map(b"".join, kept(f"packing {path}", lambda: _ids(path)).values(texts))
 
 
 def document_pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -97,7 +97,7 @@ def document_pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "
             longs = [pa.array(x, pa.int64()) for x in (start, length, crc)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *longs], [key, "piece", "start", "length", "ids_crc32"])
 
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(task(f"packing {path}", run), f"`{key}` {rows.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def _groups(counts: np.ndarray, small: int, capacity: int) -> list[tuple[int, list[list[int]]]]:

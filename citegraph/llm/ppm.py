@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import fold_of, materialize, ship, table
+from citegraph.llm.common import fold_of, materialize, ship, table, task
 from citegraph.llm.tokens import grouped
 
 FOLDS, HELD_OUT = 5, 1
@@ -249,7 +249,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                     counter = Counter()
         yield rows(counter)
 
-    return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(task("ppm", run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _spread(key: np.ndarray | Column) -> np.ndarray | Column:
@@ -285,7 +285,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
         if own:
             yield pa.RecordBatch.from_arrays([*map(pa.array, _merged(*map(list, zip(*own, strict=True))))], ["key", "n"])
 
-    return materialize(texts.mapInArrow(run, "key long, n long").repartition(_spread(F.col("key"))).mapInArrow(add, "key long, n long"), "grams")
+    return materialize(texts.mapInArrow(task("ppm", run), "key long, n long").repartition(_spread(F.col("key"))).mapInArrow(task("ppm", add), "key long, n long"), "grams")
 
 
 def train(texts: DataFrame, share: float = SHARE) -> Model:
@@ -340,7 +340,7 @@ def gram_logs(model: Model, wanted: DataFrame) -> DataFrame:
     buckets = max(16, int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-model.types_of_grams // BUCKET_GRAMS))
     rows = model.grams.select("key", "n").union(wanted.select("key", F.lit(0).cast("long")))
     dealt = rows.select(F.pmod(_spread(F.col("key")), F.lit(buckets)).alias("bucket"), "key", "n").repartition(buckets, "bucket")
-    return dealt.mapInArrow(answer, "key long, log double")
+    return dealt.mapInArrow(task("ppm", answer), "key long, log double")
 
 
 class Lookup:
@@ -430,7 +430,7 @@ def score(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    made = rows.mapInArrow(run, f"{kept}, n_tokens long, known long, own double, rare array<struct<word: binary, tf: long>>, sum double, grams array<struct<key: long, tf: long>>, __row long")
+    made = rows.mapInArrow(task("ppm", run), f"{kept}, n_tokens long, known long, own double, rare array<struct<word: binary, tf: long>>, sum double, grams array<struct<key: long, tf: long>>, __row long")
     made = materialize(made, "scored-parts")
     asked = made.select("__row", F.explode("grams").alias("x")).select("__row", "x.key", "x.tf")
     more = asked.join(gram_logs(model, asked.select("key").distinct()), "key").groupBy("__row").agg(F.sum(F.col("tf") * F.col("log")).alias("more"))

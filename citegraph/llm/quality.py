@@ -80,15 +80,14 @@ def quality_measures(df: DataFrame, keep: list[Column], text: str = "text") -> D
     """The counts and ratios of every row's text, beside the columns in keep."""
     text_column = F.coalesce(F.col(text).cast("string"), F.lit(""))
     frame = df.select(
-        *keep,
+        F.struct(F.lit(0), *keep).alias("__keep"),  # apart, whatever its columns are called
         text_column.alias("__text"),
         F.array_remove(F.split(text_column, WORD_BREAK), "").alias("__words"),
         F.filter(F.split(text_column, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"),
     )
     words, lines, body = F.col("__words"), F.col("__lines"), F.col("__text")
-    names = [c for c in frame.columns if not c.startswith("__")]
     frame = frame.select(
-        *names,
+        "__keep",
         F.size(words).alias("__n"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -102,8 +101,9 @@ def quality_measures(df: DataFrame, keep: list[Column], text: str = "text") -> D
     )
     frame = _repeated_words(frame).withColumn("n_words", F.col("__n").cast("long"))
     n, n_lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
+    names = [f.name for f in frame.schema["__keep"].dataType.fields[1:]]
     return frame.select(
-        *names,
+        *[F.col(f"__keep.`{c}`") for c in names],
         *["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
         (F.col("word_chars") / n).alias("mean_word_length"),
         (F.col("n_symbols") / n).alias("symbol_ratio"),

@@ -53,8 +53,14 @@ def _leaves(cells: DataFrame, depth: int, top: int, limit: int) -> DataFrame:
 
 def extendible_shards(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
     """(key, n_bytes, depth, prefix, shard_bytes, oversized) for every row of df: its shard is (depth, prefix)."""
+    return _shards(df, key, text, limit).withColumnRenamed("key", key)
+
+
+def _shards(df: DataFrame, key: str, text: str, limit: int, *carried: Column) -> DataFrame:
+    """extendible_shards with the carried columns beside key."""
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
-    rows = materialize(df.select(F.col(key).alias("key"), size.alias("n_bytes"), address_of(key).alias("address")), "shard-rows")
+    rows = materialize(df.select(*carried, F.col(key).alias("key"), size.alias("n_bytes"), address_of(key).alias("address")), "shard-rows")
+    names = [*rows.columns[: len(carried)], "key"]
     fit = rows.where(F.col("n_bytes") <= limit)
     total = fit.agg(F.sum("n_bytes")).first()[0] or 0
     top = min(BITS - ROUND_BITS, max(0, math.floor(math.log2(max(1, total / limit)))))
@@ -76,19 +82,19 @@ def extendible_shards(df: DataFrame, key: str = "doc_id", text: str = "text", li
     for depth in sorted(depths):  # one round of splits each; nearly always the first alone
         own = directory.where(F.col("cell_depth") == depth)
         part = fit.withColumn("cell", prefix(F.col("address"), depth)).join(own, "cell")
-        part = part.select("key", "n_bytes", F.col("at").alias("depth"), F.col("bucket").alias("prefix"), F.col("bucket_bytes").alias("shard_bytes"), F.lit(False).alias("oversized"))
+        part = part.select(*names, "n_bytes", F.col("at").alias("depth"), F.col("bucket").alias("prefix"), F.col("bucket_bytes").alias("shard_bytes"), F.lit(False).alias("oversized"))
         out = part if out is None else out.unionByName(part)
     over = rows.where(F.col("n_bytes") > limit).select(
-        "key", "n_bytes", F.lit(BITS + 1).alias("depth"), F.monotonically_increasing_id().alias("prefix"), F.col("n_bytes").alias("shard_bytes"), F.lit(True).alias("oversized")
+        *names, "n_bytes", F.lit(BITS + 1).alias("depth"), F.monotonically_increasing_id().alias("prefix"), F.col("n_bytes").alias("shard_bytes"), F.lit(True).alias("oversized")
     )
-    out = over if out is None else out.unionByName(over)
-    return out.withColumnRenamed("key", key)
+    return over if out is None else out.unionByName(over)
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> None:
-    """Write the rows of df under path, a folder for each shard; df's key must be unique here."""
-    shards = extendible_shards(df, key, text, limit).select(F.col(key).alias("__key"), F.format_string("%02d-%x", "depth", "prefix").alias("shard"))
-    df.join(shards, F.col(key).eqNullSafe(F.col("__key"))).drop("__key").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write the rows of df under path, a folder for each shard. Each row is carried to its shard, keys may repeat."""
+    shard = F.format_string("%02d-%x", "depth", "prefix").alias("shard")
+    dealt = _shards(df, key, text, limit, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).select(shard, "row")
+    dealt.repartition("shard").select("row.*", "shard").write.partitionBy("shard").parquet(path)
 
 
 def op7_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,8 @@ each, which is the library's default. Repeated rows keep a row each; only id and
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import chain, filterfalse
 
 import numpy as np
@@ -22,16 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import ship, table
+from citegraph.llm.common import kept, ship, table, task
 
 MAX_TOKENS = 2048
-#: Pieces that a worker remembers, and the longest one that it does.
+#: Pieces that a worker remembers, some 150 MB, and the longest one that it does.
 CACHE_PIECES, CACHE_LENGTH = 800_000, 64
 #: Characters of text whose pieces are held at once.
 GROUP_CHARS = 1 << 20
 
-#: Fixed values of the vocabulary file's pre-tokenizer.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: In all other characters there are white space, combining marks, and a capital I whose lower case is two characters.
+ODD = re.compile("[^\x20-\x7e\xa1-\u012f\u0131-\u017f\u2010-\u2027]").search
 
 
 def vocabulary_path(name: str) -> str:
@@ -54,44 +53,63 @@ def grouped(texts: list[str], limit: int = GROUP_CHARS) -> Iterator[list[str]]:
 
 
 class PreTokens:
-    """A vocabulary file's normaliser and pre-tokenizer, for many pieces at once."""
+    """A vocabulary file's normaliser and pre-tokenizer, for many pieces at once.
 
-    def __init__(self, specials: list[str]):
+    Printable ASCII and the Latin letters and marks beside ODD, on which all Unicode tables agree and whose normal form is
+    themselves, are normalised and split here, by the file's own pattern; all else is by the library, whose tables are
+    its own.
+    """
+
+    def __init__(self, path: str):
         import regex
+        from tokenizers import Regex, Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
-        self.special = regex.compile("|".join(map(regex.escape, specials)))
-        self.find = regex.compile(PRE_TOKEN + r"|\n").findall
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]))
+        self.find = regex.compile(pattern + r"|\n").findall
+        self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
+        self.split = Split(Regex(pattern), behavior="removed", invert=True).pre_tokenize_str
 
     def words(self, pieces: list[str]) -> list[list[str]]:
-        """The pre-tokens of each piece; pieces hold no line feed and no special string."""
-        text = "\n".join(pieces)
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma, as the library has it
+        """The pre-tokens of each plain piece; pieces hold no line feed and no special string."""
         out: list[list[str]] = [[]]
-        for word in self.find(text.lower()):
+        for word in self.find("\n".join(pieces).lower()):
             if word == "\n":
                 out.append([])
             else:
                 out[-1].append(word)
-        return out
+        return out if pieces else []
+
+    def odd_words(self, piece: str) -> list[str]:
+        return [w for w, _ in self.split(self.normalize(piece))]
 
 
 class PieceCache:
     """Values of pieces (a text cut at blanks and line feeds) from values of pre-tokens, both remembered up to a bound.
 
     of: values for a list of pre-tokens; join: a piece's value from those of its pre-tokens; special: the value of a
-    special string.
+    special string; whole: the values of pieces with ODD characters, where not by their pre-tokens.
     """
 
-    def __init__(self, pre: PreTokens, of: Callable[[list[str]], list], join: Callable[[list], object], special: Callable[[str], object]):
-        self.pre, self.of, self.join, self.special = pre, of, join, special
+    def __init__(self, pre: PreTokens, of: Callable[[list[str]], list], join: Callable[[list], object], special: Callable[[str], object], whole: Callable[[list[str]], list] | None = None):
+        self.pre, self.of, self.join, self.special, self.whole = pre, of, join, special, whole
         self.known: dict[str, object] = {}
         self.words: dict[str, object] = {}
 
     def _learn(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 20_000):
             own = pieces[at : at + 20_000]
-            found = self.pre.words(own)
+            odd = list(filter(ODD, own))
+            if odd:
+                own = list(set(own).difference(odd))
+            if odd and self.whole:
+                self.known.update(zip(odd, self.whole(odd), strict=True))
+                odd = []
+            found = self.pre.words(own) + list(map(self.pre.odd_words, odd))
+            own += odd
             new = list(set(chain.from_iterable(found)).difference(self.words))
             self.words.update(zip(new, self.of(new), strict=True)) if new else None
             get, join = self.words.__getitem__, self.join
@@ -159,7 +177,6 @@ class ArrayMerger:
         letters = _byte_symbols()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + end] for c in letters], np.int64)
-        self.specials = [t["content"] for t in spec["added_tokens"]]
 
     def counts(self, words: list[str]) -> np.ndarray:
         """The number of tokens of each pre-token."""
@@ -196,14 +213,13 @@ class ArrayMerger:
         return out
 
 
-@lru_cache(maxsize=2)
 def _counter(path: str) -> PieceCache:
     merger = ArrayMerger(path)
-    return PieceCache(PreTokens(merger.specials), lambda words: merger.counts(words).tolist(), sum, lambda mark: 1)
+    return PieceCache(PreTokens(path), lambda words: merger.counts(words).tolist(), sum, lambda mark: 1)
 
 
 def count_tokens(texts: list[str], path: str) -> list[int]:
-    return list(map(sum, _counter(path).values(texts)))
+    return list(map(sum, kept(f"tokens {path}", lambda: _counter(path)).values(texts)))
 
 
 def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", most: int = MAX_TOKENS) -> DataFrame:
@@ -217,7 +233,7 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
             n = count_tokens(b.column(2).to_pylist(), path)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], [key, "n_bytes", "n_tokens"])
 
-    counted = rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(task(f"tokens {path}", run), f"`{key}` {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > most)
 
 

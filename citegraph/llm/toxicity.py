@@ -2,8 +2,9 @@
 
 The field has two states, clean and toxic. Its potentials are weights of a word's features (the word and its prefixes
 of four to eight letters) and of the step from one state to the next. Labelled tokens come from labelled documents:
-in a toxic one, the words with a feature that toxic documents have far more often than clean ones. The weights then
-follow the likelihood's gradient, whose expectations forward and backward passes give.
+in a toxic one, the words with a feature that toxic documents have far more often than clean ones. The weights of features
+and of steps then follow the likelihood: its expectations of tokens and of steps, those inside runs of words without
+evidence too, come from forward and backward passes.
 
 A word without a weighted feature has equal potentials, so a run of such words is a power of the step matrix: passes
 visit the words with evidence alone and are still exact. A document's score is a logistic function, fitted on the same
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import fold_of, ship, table
+from citegraph.llm.common import fold_of, ship, table, task
 from citegraph.llm.tokens import grouped
 
 MAX_DOCS = 8_000
@@ -41,9 +42,9 @@ LEAST_ODDS, LEAST_DOCS, LEAST_SHARE = 3.0, 4, 0.01
 COPY_SEEDS = (0, 0x5BD1E995, 0x9E3779B9, 0x85EBCA6B)
 #: Measures of a document in the logistic function.
 HEAD = 4
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
-STEPS, RATE, RIDGE = 40, 0.5, 1e-3
+STEPS, RATE, RIDGE, STEP_PRIOR = 40, 0.5, 1e-3, 5.0
 
 
 def features(word: str) -> list[str]:
@@ -61,12 +62,11 @@ class Field:
 
     def _step(self) -> None:
         """The powers of the step matrix by its eigenvalues: m**n = one + r**n * rest, up to the largest value's scale."""
-        m = np.exp(self.steps)
-        values, vectors = np.linalg.eig(m)
+        values, vectors = np.linalg.eig(np.exp(self.steps))
         order = np.argsort(-np.abs(values))
         values, vectors = values[order].real, vectors[:, order].real
         inverse = np.linalg.inv(vectors)
-        self.ratio = values[1] / values[0]
+        self.ratio, self.log_top, self.scaled = values[1] / values[0], float(np.log(values[0])), np.exp(self.steps) / values[0]
         self.one, self.rest = np.outer(vectors[:, 0], inverse[0]), np.outer(vectors[:, 1], inverse[1])
         self.first = np.ones(2)
 
@@ -88,28 +88,42 @@ class Field:
         return [i for i, _ in found], [w for _, w in found], len(pieces), pieces
 
     def passes(self, places: list[int], weights: list[float], n: int) -> tuple[np.ndarray, np.ndarray, float]:
-        """Marginals of the toxic state at the places; those of pairs that step into a place; the log partition."""
-        forward, scale, a, last = [], 0.0, self.first, 0
-        befores = []
+        """Marginals of the toxic state at the places; the expected number of each step; the log partition."""
+        m = self.scaled
+        forward, befores, scale, a, last = [], [], 0.0, self.first, 0
         for at, w in zip(places, weights, strict=True):
-            before = a @ self.power(at - last - 1) if at - last > 1 else a
-            joint = before[:, None] * np.exp(self.steps) if at or forward else np.diag(before)
-            a = joint.sum(axis=0) * (1.0, np.exp(w))
-            befores.append(joint)
+            befores.append(a)
+            a = (a @ self.power(at - last)) * (1.0, np.exp(w))
             total = a.sum()
             a, scale, last = a / total, scale + np.log(total), at
             forward.append(a)
-        b, after = self.power(n - 1 - last) @ np.ones(2), []
-        scale += np.log(a @ b)
+        b = self.power(n - 1 - last) @ np.ones(2)
+        scale += np.log(a @ b) + (n - 1) * self.log_top
+        steps, after = self._steps(a, np.ones(2), n - 1 - last, m), []
         for i in range(len(places) - 1, -1, -1):
             after.append(b)
             gap = places[i] - (places[i - 1] if i else 0)
-            b = np.exp(self.steps) @ (b * (1.0, np.exp(weights[i])))
-            b = (self.power(gap - 1) @ b) if gap > 1 else b
+            b = b * (1.0, np.exp(weights[i]))
+            steps = steps + self._steps(befores[i], b, gap, m)
+            b = self.power(gap) @ b
             b = b / b.sum()
         after.reverse()
         both = np.array(forward) * np.array(after)
-        return both[:, 1] / both.sum(axis=1), both, scale
+        return both[:, 1] / both.sum(axis=1), steps, scale
+
+    def _steps(self, a: np.ndarray, b: np.ndarray, gap: int, m: np.ndarray) -> np.ndarray:
+        """Expected steps over a gap of so many, from forward weights a before it and backward weights b after it.
+
+        The k-th step has the weight (a power(k))_i m_ij (power(gap - 1 - k) b)_j; powers are sums of two geometric rows.
+        """
+        if gap < 1:
+            return np.zeros((2, 2))
+        r = self.ratio
+        a0, a1, b0, b1 = a @ self.one, a @ self.rest, self.one @ b, self.rest @ b
+        run = gap if abs(1 - r) < 1e-12 else (1 - r**gap) / (1 - r)
+        last = gap * r ** (gap - 1)
+        found = gap * np.outer(a0, b0) + run * (np.outer(a1, b0) + np.outer(a0, b1)) + last * np.outer(a1, b1)
+        return found * m / (a @ self.power(gap) @ b)
 
     def summary(self, text: str) -> tuple[np.ndarray, list[int], np.ndarray, list[str]]:
         places, weights, n, pieces = self.evidence(text)
@@ -141,6 +155,13 @@ def _distinct(texts: list[str]) -> list[bool]:
     return out
 
 
+def _observed(places: list[int], n: int) -> np.ndarray:
+    """How often a labelled sequence takes each step: toxic at the places, clean elsewhere."""
+    inner = sum(b == a + 1 for a, b in zip(places, places[1:], strict=False))
+    into, out = sum(p > 0 for p in places) - inner, sum(p < n - 1 for p in places) - inner
+    return np.array([[max(0, n - 1 - inner - into - out), into], [out, inner]], float)
+
+
 def fit(texts: list[str], labels: list[int], max_features: int = MAX_FEATURES) -> Field:
     """Lexicon of labelled tokens, then the field, then the logistic of documents."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -175,17 +196,19 @@ def fit(texts: list[str], labels: list[int], max_features: int = MAX_FEATURES) -
     for step in range(STEPS):
         field.steps = bias
         field._step()
-        gradient, moves = np.zeros(len(chosen)), np.zeros((2, 2))
+        gradient, seen_steps, expected = np.zeros(len(chosen)), np.zeros((2, 2)), np.zeros((2, 2))
         for places, own, n, label in rows[step % 4 :: 4]:  # a quarter of the documents each step
             w = [float(weights[f].sum()) for f in own]
-            toxic, _, _ = field.passes(places, w, n)
+            toxic, steps, _ = field.passes(places, w, n)
             miss = (label - toxic) / size * 4
             for f, m in zip(own, miss, strict=True):
                 gradient[f] += m
-            moves[0, 1] += (label * len(places) - toxic.sum()) / size * 4
+            expected += steps
+            seen_steps += _observed(places if label else [], n)
         weights += rate * 200 * (gradient - RIDGE * weights / max(1, len(chosen)))
-        bias = bias + rate * moves
-        bias[0, 1] = min(bias[0, 1], -1.0)  # evidence alone starts a span
+        # Iterative scaling of the steps; what both states share is no freedom, so clean to clean stays 0.
+        bias = bias + rate * np.log((seen_steps + STEP_PRIOR) / (expected + STEP_PRIOR))
+        bias = np.clip(bias - bias[0, 0], -12.0, 12.0)
     field = Field({f: float(w) for f, w in zip(chosen, weights, strict=True) if w}, bias.ravel().tolist(), [0.0] * HEAD)
 
     x = np.array([field.summary(t)[0] for t in texts])
@@ -208,20 +231,18 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Field
     ids = ids.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+    # Repeated rows of a document teach once, and only one of them is sent: the least text.
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, labels, seen = [], [], set()
+        texts, labels = [], []
         for b in batches:
-            for i, t, y in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if i not in seen:  # repeated rows of a document teach once
-                    seen.add(i)
-                    texts.append(t)
-                    labels.append(int(y > 0))
+            texts += b.column(1).to_pylist()
+            labels += [int(y > 0) for y in b.column(2).to_pylist()]
         model = fit(texts, labels)
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps([model.weights, model.steps.ravel().tolist(), model.head.tolist()])])], ["model"])
 
-    found = rows.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(run, "model string").first()
+    found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(task("toxicity", run), "model string").first()
     return fit([], []) if found is None else Field(*json.loads(found[0]))  # without rows there is no task to fit in
 
 
@@ -242,7 +263,7 @@ def score_documents(df: DataFrame, model: Field, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], score, places], [*keep, "score", "spans"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(run, f"{kept}, score double, spans array<struct<start: long, end: long>>")
+    return rows.mapInArrow(task("toxicity", run), f"{kept}, score double, spans array<struct<start: long, end: long>>")
 
 
 def op6_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """URL filters: rules first, then words of the host and path scored by naive Bayes.
 
-Names of hosts are split into words by the most likely segmentation (Viterbi over a unigram table). A multinomial naive
-Bayes then scores the words of host and path. Its counts come from all urls: a url whose host holds a word of SEEDS
-teaches the block class, any other the allow class; words are counted in 2**16 hashed cells, so what is counted, sent and
-broadcast has a fixed size however many urls there are. A host's words count once for each of its urls.
+Names of hosts are split into words by the most likely segmentation (Viterbi over a unigram table): common words, and the
+words that stand alone in the paths of all urls, MAX_WORDS of the most frequent. A multinomial naive Bayes then scores the
+words of host and path. Its counts come from all urls: a url whose host holds a word of SEEDS teaches the block class by
+its other words, any other url the allow class. A seed itself has fixed odds, so that seeds among words of allowed urls
+are allowed, and words of seeded urls block without a seed. Words are counted in 2**16 hashed cells, so what is counted,
+sent and broadcast has a fixed size however many urls there are. A host's words count once for each of its urls.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and is scored on no word,
 which allows it. A label over 63 letters, which no host name can have, is segmented 63 letters at a time. Repeated rows
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import ship, table
+from citegraph.llm.common import ship, table, task
 
 
 class Rule(NamedTuple):
@@ -53,18 +55,35 @@ COMMON = (
 CELLS = 1 << 16
 #: Prior share of urls to block, smoothing, and the longest word and label.
 PRIOR, ALPHA, LONGEST_WORD, LONGEST_LABEL = 0.1, 0.5, 24, 63
+#: Log odds of a seed; words of paths in the unigram table; from how many urls on words count, there and in the odds.
+SEED_ODDS, MAX_WORDS, LEAST_URLS = 3.0, 50_000, 3
 
 
-def unigrams() -> dict[str, float]:
-    """Log probabilities of the default table's words."""
+def unigrams(counted: dict[str, int] | None = None) -> dict[str, float]:
+    """Log probabilities of words: the common ones by Zipf's law, and counted ones, all together as weighty as those."""
     words = list(dict.fromkeys([*COMMON, *sorted(SEEDS)]))
     weight = {w: 1.0 / (i + 3) for i, w in enumerate(words)}
+    if counted:
+        share = sum(weight.values()) / sum(counted.values())
+        for w, n in counted.items():
+            weight[w] = max(weight.get(w, 0.0), n * share)
     total = sum(weight.values())
     return {w: math.log(v / total) for w, v in weight.items()}
 
 
+def path_words(urls: DataFrame) -> dict[str, int]:
+    """Words of four letters and more that stand alone in paths, by how many urls: at most MAX_WORDS."""
+    words = urls.select(F.explode(F.array_distinct(F.split(F.lower("path"), "[^a-z]+"))).alias("word")).where(F.length("word").between(4, LONGEST_WORD))
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_URLS)
+    return {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()}
+
+
 class Segmenter:
-    """Viterbi segmentation of letters into words of a unigram table; an unknown word costs more with each letter."""
+    """Viterbi segmentation of letters into words of a unigram table.
+
+    An unknown word costs more with each letter, and more for each of the five letters that it lacks: what is left of a
+    name beside a word inside it is no word.
+    """
 
     def __init__(self, table: dict[str, float]):
         self.table, self.memo = table, {}
@@ -72,7 +91,7 @@ class Segmenter:
 
     def cost(self, word: str) -> float:
         known = self.table.get(word)
-        return known if known is not None else -6.0 - 2.4 * len(word)
+        return known if known is not None else -8.0 - 2.0 * len(word) - 2.0 * max(0, 5 - len(word))
 
     def split(self, name: str) -> list[str]:
         if name in self.memo:
@@ -103,11 +122,12 @@ def host_words(host: str, segmenter: Segmenter) -> list[str]:
     return [w for label in _LETTERS.findall(host) for w in segmenter.split(label)]
 
 
-def words_of(host: str, path: str, segmenter: Segmenter) -> tuple[list[str], bool]:
-    """The words of host and path, marked by where they stand, and whether the host holds a seed. Digits are one word."""
+def words_of(host: str, path: str, segmenter: Segmenter) -> tuple[list[str], int]:
+    """The words of host and path but seeds, marked by where they stand, and the seeds in the host. Digits are one word."""
     own = host_words(host, segmenter)
+    rest = [w for w in own if w not in SEEDS]
     tail = ["/#" if w[0].isdigit() else f"/{w}" for w in _PATH.findall(path.lower())]
-    return own + tail, not SEEDS.isdisjoint(own)
+    return rest + tail, len(own) - len(rest)
 
 
 def _cells(words: list[str]) -> list[int]:
@@ -141,27 +161,27 @@ def train(urls: DataFrame, table: dict[str, float] | None = None) -> np.ndarray:
         segmenter, counts = Segmenter(known), np.zeros((2, CELLS), np.int64)
         for b in batches:
             for host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words, block = words_of(host, path, segmenter)
+                words, seeds = words_of(host, path, segmenter)
                 for c in _cells(words):
-                    counts[int(block), c] += 1
+                    counts[int(seeds > 0), c] += 1
         label, cell = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(cell), pa.array(counts[label, cell])], ["label", "cell", "n"])
 
-    made = urls.select("host", "path").mapInArrow(run, "label long, cell long, n long")
+    made = urls.select("host", "path").mapInArrow(task("urls", run), "label long, cell long, n long")
     counts = np.zeros((2, CELLS))
     for label, cell, n in made.groupBy("label", "cell").agg(F.sum("n")).collect():  # two rows for each cell at most
         counts[label, cell] = n
     used = max(1, int((counts.sum(axis=0) > 0).sum()))
     share = (counts + ALPHA) / (counts.sum(axis=1, keepdims=True) + ALPHA * used)
-    return np.where(counts.sum(axis=0) > 0, np.log(share[1]) - np.log(share[0]), 0.0)
+    return np.where(counts.sum(axis=0) >= LEAST_URLS, np.log(share[1]) - np.log(share[0]), 0.0)
 
 
 def judge(df: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), rules: tuple[Rule, ...] = RULES, table: dict[str, float] | None = None) -> DataFrame:
     """The columns in keep, with host, path, rule, verdict, the score (log odds to block) and the host's words."""
     host, path = parts(url)
     rows = df.select(*keep, host.alias("host"), path.alias("path"))
-    ratios = train(rows, table)
-    known = unigrams() if table is None else table
+    known = unigrams(path_words(rows)) if table is None else table
+    ratios = train(rows, known)
     text, by_rule = matched_rule(rules, F.col("host"), F.col("path"))
     ruled = rows.select(*keep, "host", "path", text.alias("rule"), by_rule.alias("by_rule"))
     n = len(keep)
@@ -171,13 +191,13 @@ def judge(df: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",),
         for b in batches:
             scores, hosts = [], []
             for host, path in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True):
-                words, _ = words_of(host, path, segmenter)
-                scores.append(start + float(ratios[_cells(words)].sum()) if words else start)
+                words, seeds = words_of(host, path, segmenter)
+                scores.append(start + SEED_ODDS * seeds + float(ratios[_cells(words)].sum()))
                 hosts.append(host_words(host, segmenter))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(hosts, pa.list_(pa.string()))], [*b.schema.names, "score", "host_words"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ruled.schema)
-    scored = ruled.mapInArrow(run, f"{schema}, score double, host_words array<string>")
+    scored = ruled.mapInArrow(task("urls", run), f"{schema}, score double, host_words array<string>")
     verdict = F.coalesce("by_rule", F.when(F.col("score") >= 0, "block").otherwise("allow"))
     return scored.select(*keep, "host", "path", "rule", verdict.alias("verdict"), "score", "host_words")
 

@@ -450,3 +450,159 @@ def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "toxicity", "near_dedup", "decontamination", "best_fit_packing"]
+
+
+def test_the_cut_mends_what_the_classifier_gets_wrong():
+    from citegraph.llm.html import blocks, costs, main_text
+
+    prose = "The old house by the river was sold to a man from the city who has never lived in it, and does not want to."
+    links = "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(4))
+    inside = f"<html><body><div><h1>The house</h1><p>{prose}</p><p>Quite so</p><p>{prose}</p><div>and more</div><p>{prose}</p></div></body></html>"
+    alone = [a > b for a, b in (costs(x, False) for x in blocks(inside))]
+    assert alone == [True, True, False, True, False, True]  # short lines look like boilerplate, but not among prose
+    assert main_text(inside).split("\n") == ["The house", prose, "Quite so", prose, "and more", prose]
+    outside = f"<body><ul>{links}<li>A short remark that stands alone among them here.</li>{links}</ul><div><p>{prose}</p><p>{prose}</p></div></body>"
+    found = blocks(outside)
+    assert costs(found[4], False)[0] > 0 and main_text(outside).split("\n") == [prose, prose]
+
+
+def test_tags_are_read_as_browsers_do():
+    from citegraph.llm.html import main_text
+
+    assert main_text('<p title="a"b">Hello to the first.</p><p title="c"d">Hello to the second.</p>') == "Hello to the first.\nHello to the second."
+    assert main_text("<p data-x=it's>Hello to all of you.</p><p>Don't you go away.</p>") == "Hello to all of you.\nDon't you go away."
+    for name in ("side-by-side", "related-work", "legal-history", "post-header"):
+        assert main_text(f"<article><div class={name}><p>Here is a text of the article.</p></div></article>") == "Here is a text of the article."
+    deep = "<div>" * 3000 + "<p>A sentence at the bottom of it.</p>" + "</div>" * 3000
+    assert main_text(deep) == "A sentence at the bottom of it." and main_text("<p>Some words here.</p>" + "<p title='" * 3000) == "Some words here."
+    assert main_text("1 < 2 is true, and so is 3 </4 here.") == "1 < 2 is true, and so is 3"  # a bogus comment to the end
+
+
+def test_url_words_generalise(spark):
+    from citegraph.llm.urls import Segmenter, judge, unigrams
+
+    urls = [f"http://casinolounge{i}.test/x" for i in range(30)] + [f"http://green{w}{i}.test/x" for w in ("market", "garden", "field") for i in range(60)]
+    urls += [f"http://a{i}.test/farmers/market/lounge/field" for i in range(5)] + ["http://lounge-lounge.test/x", "http://farmersmarket.test/x", "http://trackandfield.test/x", None, ""]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r for r in judge(frame).collect()}
+    assert len(got) == len(urls) and all(got[i].verdict == "block" for i in range(30)) and all(got[i].verdict == "allow" for i in range(30, 210))
+    lounge, farmers, track = (got[215 + k] for k in range(3))
+    assert lounge.verdict == "block"  # by words of seeded hosts, without a seed
+    assert farmers.verdict == track.verdict == "allow" and farmers.host_words == ["farmers", "market", "test"]
+    # Viterbi against all cuttings.
+    words = Segmenter(unigrams())
+    for name in ("newsblog", "xqcasino", "artbank", "shopwine", "hackzz"):
+        cut = lambda mask: [name[a:b] for a, b in itertools.pairwise([0, *[i for i in range(1, len(name)) if mask >> i & 1], len(name)])]  # noqa: B023, E731
+        best = max(sum(map(words.cost, cut(m))) for m in range(0, 1 << len(name), 2))
+        assert math.isclose(sum(map(words.cost, words.split(name))), best)
+    assert judge(frame.where("false")).count() == 0
+
+
+def test_field_expects_steps_as_enumeration_does():
+    from citegraph.llm.toxicity import Field, _observed
+
+    field = Field({}, [0.0, -1.1, 0.3, -0.6], [0.0] * 4)
+    for places, weights, n in (([0], [1.2], 1), ([1, 4], [2.0, -0.5], 7), ([0, 1, 6], [0.3, 1.5, 2.5], 7), ([5], [0.7], 8)):
+        evidence, total, steps = dict(zip(places, weights, strict=True)), 0.0, np.zeros((2, 2))
+        for states in itertools.product((0, 1), repeat=n):
+            p = math.exp(sum(evidence.get(i, 0.0) for i in range(n) if states[i]) + sum(field.steps[a, b] for a, b in itertools.pairwise(states)))
+            total += p
+            for a, b in itertools.pairwise(states):
+                steps[a, b] += p
+        _, got, scale = field.passes(places, weights, n)
+        assert np.allclose(got, steps / total) and math.isclose(scale, math.log(total))
+    for places, n in (([], 5), ([0, 1, 4], 6), ([2, 5], 6), ([0], 1)):
+        states = [int(i in places) for i in range(n)]
+        want = np.zeros((2, 2))
+        for a, b in itertools.pairwise(states):
+            want[a, b] += 1
+        assert (_observed(places, n) == want).all()
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    from citegraph.llm.sharding import write_shards
+
+    frame = spark.createDataFrame([*rows("a" * 50, None, "b" * 700), (0, "a" * 50, 1, "r", "t"), (None, "no key", 0, "", "")], SCHEMA)
+    write_shards(frame, f"{tmp_path}/shards", limit=100)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(map(str, back.select(*frame.columns).collect())) == sorted(map(str, frame.collect()))
+    assert back.select("shard").distinct().count() >= 3
+
+
+def test_slices_of_a_benchmark_score_alike(spark, monkeypatch):
+    from citegraph.llm import decontaminate
+
+    rng = random.Random(4)
+    word = lambda: rng.choice("bcdfgh") + rng.choice("aeiou") + rng.choice("lmnr")
+    items = [(i, " ".join(word() for _ in range(rng.randint(2, 25))) + ". " + " ".join(word() for _ in range(5))) for i in range(60)]
+    texts = [" ".join(word() for _ in range(60)) + " " + items[i][1] for i in range(0, 60, 3)] + [" ".join(items[i][1].split()[: 4 + i // 2]) for i in range(20)] + [None, ""]
+    frame, bench = spark.createDataFrame(rows(*texts), SCHEMA), spark.createDataFrame([*items, (60, None), (61, "one")], "item_id long, text string")
+    whole = sorted((r.doc_id, r.item_ids, round(r.score, 9)) for r in decontaminate.find_leaks(frame, bench, ["doc_id"]).collect())
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1000)
+    assert sorted((r.doc_id, r.item_ids, round(r.score, 9)) for r in decontaminate.find_leaks(frame, bench, ["doc_id"]).collect()) == whole
+    assert sum(len(x[1]) for x in whole) >= 20
+
+
+def test_tokens_agree_with_the_library_on_all_kinds_of_characters():
+    from tokenizers import Tokenizer
+
+    from citegraph.llm import packing, tokens
+
+    path = tokens.vocabulary_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = [f"a{chr(c)}B@ {chr(c)}" for c in [*range(0x3000), *range(0x3000, 0x110000, 257), 0xA7CB, 0xA7DC, 0x18F47] if not 0xD800 <= c < 0xE000]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert tokens.count_tokens(texts, path) == list(map(len, want))
+    assert [np.frombuffer(b, np.uint32).tolist() for b in packing.token_bytes(texts, path)] == want
+
+
+def test_pipeline_stages_do_what_brute_force_does(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from citegraph.llm import quality, tokens
+
+    rng = random.Random(8)
+    plain = ["the", "and", "of", "to", "in", "that", *["".join(rng.choices("abdeilmnorst", k=rng.randint(3, 8))) for _ in range(400)]]
+    prose = lambda n: " ".join(rng.choice(plain[:6]) if rng.random() < 0.35 else rng.choice(plain) for _ in range(n)) + "."
+    items = [(i, f"{prose(20)} {prose(6)}") for i in range(6)]
+    texts, toxic = [prose(rng.randint(60, 150)) for _ in range(120)], set(range(0, 120, 4))
+    for i in toxic:
+        own = texts[i].split()
+        for _ in range(6):
+            own[rng.randrange(len(own))] = rng.choice(["scoundrel", "knavery"])
+        texts[i] = " ".join(own)
+    leaked = [1, 5, 9]
+    for k, i in enumerate(leaked):
+        texts[i] = f"{texts[i]} {items[k][1]}"
+    copies = {120: 2, 121: 3, 122: 3}
+    texts += [texts[2], texts[3] + " indeed", texts[3], "too short", None, "", "word " * 60]
+    made = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*made, made[2], (None, prose(80), None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [r.asDict()["doc_id"] for r in quality.apply_rules(docs).collect()]
+    assert not {123, 124, 125, 126} & set(left) and set(range(123)) <= set(left)
+    want = [set(range(123)) | {None}]
+    want.append(want[0] - toxic)
+    want.append(want[1] - set(copies))
+    want.append(want[2] - set(leaked))
+    now = docs
+    for at, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns
+        now.write.parquet(f"{tmp_path}/{at}")
+        now = spark.read.parquet(f"{tmp_path}/{at}")
+        got = [r.doc_id for r in now.collect()]
+        assert set(got) == want[at] and len(got) - len(set(got)) == (at < 2)  # a repeated row goes with the copies
+    pieces = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+    library = Tokenizer.from_file(tokens.vocabulary_path("word_bpe_49k.json"))
+    lengths = Counter()
+    for r in pieces:
+        lengths[r.doc_id] += r.length
+    assert lengths == {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) + 1 for r in now.collect()}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.doc_id or -1, r.piece) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id or -1, r.piece) for r in pieces)
+    none = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
