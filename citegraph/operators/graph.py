@@ -77,7 +77,7 @@ def same_content(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     return first_of(pairs, ["item_id"], [F.col("other_id")], most).select("item_id", "other_id")
 
 
-def components(pairs: DataFrame, node: str, key: str, cut, most_rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame, node: str, key: str, cut) -> DataFrame:
     """(node, component) of a bipartite graph: nodes that share keys, named by the least node.
 
     Each round passes the least label through keys and jumps to the label's own label, so long chains halve. cut must
@@ -85,7 +85,7 @@ def components(pairs: DataFrame, node: str, key: str, cut, most_rounds: int = 60
     """
     pairs = cut(pairs.select(F.col(node).alias("node"), F.col(key).alias("key")).where("node is not null and key is not null").distinct())
     labels = cut(pairs.select("node").distinct().withColumn("label", F.col("node")))
-    for _ in range(most_rounds):
+    while True:  # labels only fall, so this ends
         by_key = pairs.join(labels, "node").groupBy("key").agg(F.min("label").alias("label"))
         seen = pairs.join(by_key, "key").groupBy("node").agg(F.min("label").alias("label"))
         jump = seen.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left")
@@ -96,21 +96,28 @@ def components(pairs: DataFrame, node: str, key: str, cut, most_rounds: int = 60
     return labels.select("node", F.col("label").alias("component"))
 
 
-def communities(edges: DataFrame, cut, rounds: int = 10) -> DataFrame:
+def communities(edges: DataFrame, cut, most_rounds: int = 200) -> DataFrame:
     """(entity_id, community) by weighted label propagation over undirected edges (src, dst, weight).
 
-    A node takes the label with the most weight among its neighbours, the least at ties; only every other node moves in
-    a round, which keeps two halves from swapping labels for ever. Deterministic for a given graph.
+    A node takes the label with the most weight among its neighbours if that is more than its own label has, one of a
+    fixed order at ties; a random half of the nodes moves in a round, the same for a given graph. It ends when no node
+    wants to move; a graph that has not come to rest after most_rounds is an error, not an unfinished answer.
     """
     a, b = F.least("src", "dst"), F.greatest("src", "dst")
     flat = edges.where("src <> dst").groupBy(a.alias("a"), b.alias("b")).agg(F.sum("weight").alias("w"))
     both = cut(flat.union(flat.select("b", "a", "w")).toDF("node", "other", "w"))
     labels = cut(both.select("node").distinct().withColumn("label", F.col("node")))
-    for i in range(rounds):
+    for i in range(most_rounds):
         votes = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("node").agg(F.max_by("label", F.struct("w", F.negative(F.xxhash64("label")))).alias("best"))
-        moves = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
-        labels = cut(labels.join(best, "node").select("node", F.when(moves, F.col("best")).otherwise(F.col("label")).alias("label")))
+        best = votes.groupBy("node").agg(F.max(F.struct("w", F.negative(F.xxhash64("label")).alias("order"), "label")).alias("best"))
+        own = labels.join(votes.withColumnRenamed("w", "own"), ["node", "label"], "left").join(best, "node")
+        gain = cut(own.select("node", "label", F.col("best.label").alias("new"), (F.col("best.w") > F.coalesce("own", F.lit(0))).alias("wants")))
+        if gain.where("wants").isEmpty():
+            break
+        moves = F.col("wants") & (F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0)
+        labels = gain.select("node", F.when(moves, F.col("new")).otherwise(F.col("label")).alias("label"))
+    else:
+        raise RuntimeError(f"communities did not come to rest in {most_rounds} rounds")
     return labels.select(F.col("node").alias("entity_id"), F.col("label").alias("community"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citegraph.functions import extract
+from citegraph.functions import display, extract
 from citegraph.functions import text as T
 from citegraph.operators import graph, search, sync
 from citegraph.snapshot import checkpointed
@@ -52,7 +52,7 @@ ENTITIES = f"(SELECT {CUSTOMER} AS entity_id, c_name AS name FROM customer UNION
 def _bm25_sql(source: str, key: str, columns: dict[str, float], terms: list[tuple[str, bool]]) -> str:
     def hits(term: str, prefix: bool) -> str:
         test = f"starts_with(t, '{term}')" if prefix else f"t = '{term}'"
-        return " + ".join(f"{w} * len(list_filter({_tok(c)}, lambda t: {test}))" for c, w in columns.items())
+        return " + ".join(f"{w} * len(list_filter({_tok(f'strip_accents({c})')}, lambda t: {test}))" for c, w in columns.items())
 
     n = range(len(terms))
     fs = ", ".join(f"{hits(*t)} AS f{i}" for i, t in enumerate(terms))
@@ -180,10 +180,16 @@ def luhn_valid(m: Model) -> DataFrame:
     return rows.select("doc_id", "card", T.luhn_valid(F.col("card")).alias("valid"))
 
 
-@query()
+@query(
+    """SELECT doc_id, 'Card ' || CASE WHEN doc_id % 2 = 0 THEN '[REDACTED:card]' ELSE '4111 1111 1111 1112' END || ', account ' || CASE WHEN doc_id % 3 = 0 THEN '[REDACTED:iban]' ELSE 'GB83 WEST 1234 5698 7654 32' END
+|| ', password: [REDACTED:password] of ' || source AS text, list_concat(list_concat(CASE WHEN doc_id % 3 = 0 THEN ['iban'] ELSE [] END, CASE WHEN doc_id % 2 = 0 THEN ['card'] ELSE [] END), ['password']) AS kinds FROM documents"""
+)
 def redact_cards(m: Model) -> DataFrame:
-    done = T.redact_cards(F.col("text"))
-    return m.table("documents").select("doc_id", (done != F.col("text")).alias("changed"), F.md5(done.cast("binary")).alias("digest"))
+    """A line for each document with a card and an account that pass their checks or do not, and a password."""
+    card = F.when(F.col("doc_id") % 2 == 0, "4111 1111 1111 1111").otherwise("4111 1111 1111 1112")
+    account = F.when(F.col("doc_id") % 3 == 0, "GB82 WEST 1234 5698 7654 32").otherwise("GB83 WEST 1234 5698 7654 32")
+    text = F.concat(F.lit("Card "), card, F.lit(", account "), account, F.lit(", password: hunter2 of "), "source")
+    return display.shown(m.table("documents").select("doc_id", text.alias("text")))
 
 
 @query(r"""SELECT doc_id, list_filter(regexp_extract_all(text, '\b[0-9a-fA-F]{40,}\b'), lambda x: length(x) % 2 = 0) AS runs FROM documents""")
@@ -487,13 +493,13 @@ def retention_prune(m: Model) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE k AS (SELECT c_custkey AS n, 'e' || (c_custkey // 3) AS k FROM customer WHERE c_custkey % 21 <> 0 UNION ALL SELECT c_custkey, 'p' || ((c_custkey + 1) // 7) FROM customer WHERE c_custkey % 21 <> 0),
+    """WITH RECURSIVE k AS (SELECT c_custkey AS n, 'e' || (c_custkey // 3) AS k FROM customer UNION ALL SELECT c_custkey, 'p' || ((c_custkey + 1) // 7) FROM customer),
 e AS (SELECT DISTINCT a.n AS a, b.n AS b FROM k a JOIN k b USING (k)), r(n, c) AS (SELECT DISTINCT n, n FROM k UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.n WHERE r.c < e.b)
 SELECT n AS node, min(c) AS component FROM r GROUP BY n"""
 )
 def person_components(m: Model) -> DataFrame:
     c = m.table("customer")
-    pairs = c.select(F.col("c_custkey").alias("node"), F.explode(F.array(F.concat(F.lit("e"), F.floor(F.col("c_custkey") / 3).cast("string")), F.concat(F.lit("p"), F.floor((F.col("c_custkey") + 1) / 7).cast("string")))).alias("key")).where("node % 21 <> 0")
+    pairs = c.select(F.col("c_custkey").alias("node"), F.explode(F.array(F.concat(F.lit("e"), F.floor(F.col("c_custkey") / 3).cast("string")), F.concat(F.lit("p"), F.floor((F.col("c_custkey") + 1) / 7).cast("string")))).alias("key"))
     return graph.components(pairs, "node", "key", checkpointed)
 
 

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: What a calendar value may not hold as it is.
+_ESCAPES = str.maketrans({c: f"\\{c}" for c in "\\;,"} | {"\n": r"\n"})
+
+
 def escaped(text: str) -> str:
-    return text.replace("\\", "\\\\").replace(";", "\;").replace(",", "\\,").replace("\n", "\\n")
+    return text.translate(_ESCAPES)
 
 
 def folded_line(line: str) -> str:
