@@ -295,17 +295,18 @@ def train(texts: DataFrame, share: float = SHARE) -> Model:
     types, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     documents = texts.count()
     counted = count_grams(texts)
-    pairs = counted.groupBy(F.col("key").bitwiseAND(SUFFIX).alias("pair")).agg(F.sum("n").alias("n")).toPandas()  # at most one row for two symbols
-    pair, n = pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)
+    pairs = counted.groupBy(F.col("key").bitwiseAND(SUFFIX).alias("pair")).agg(F.sum("n").alias("n")).toArrow()  # at most one row for two symbols
+    pair, n = (c.to_numpy().astype(np.int64) for c in pairs.columns)
     start = sum(START << (WIDTH * k) for k in range(2, ORDER + 1))
     keys, n = all_orders(pair | start, n)
     low = keys >> (WIDTH * (ORDER + 1)) < 2
-    found = counts.where(F.col("c") >= share * max(1, tokens)).select("word", "c").toPandas()  # at most 1 / share rows
-    frequent = dict(zip(map(bytes, found["word"]), map(int, found["c"]), strict=True))
+    found = counts.where(F.col("c") >= share * max(1, tokens)).select("word", "c").toArrow()  # at most 1 / share rows
+    frequent = dict(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True))
+    del found
     least, total = _least_count(counted)
     model = Model(counted, total, (keys[low], n[low]), (np.zeros(0, np.int64), np.zeros(0)), frequent, counts, tokens + documents, types + (1 if documents else 0), documents)
-    logs = gram_logs(model, counted.where(F.col("n") >= least).select("key")).toPandas()
-    return model._replace(logs=(logs["key"].to_numpy(np.int64), logs["log"].to_numpy(float)))
+    logs = gram_logs(model, counted.where(F.col("n") >= least).select("key")).toArrow()  # at most FREQUENT_GRAMS rows
+    return model._replace(logs=(logs["key"].to_numpy(), logs["log"].to_numpy()))
 
 
 def _least_count(counted: DataFrame) -> tuple[float, int]:
