@@ -285,7 +285,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
         if own:
             yield pa.RecordBatch.from_arrays([*map(pa.array, _merged(*map(list, zip(*own, strict=True))))], ["key", "n"])
 
-    return materialize(texts.mapInArrow(task("ppm", run), "key long, n long").repartition(_spread(F.col("key"))).mapInArrow(task("ppm", add), "key long, n long"), "grams")
+    return materialize(texts.mapInArrow(task("ppm", run), "key long, n long").repartition("key").mapInArrow(task("ppm", add), "key long, n long"), "grams")
 
 
 def train(texts: DataFrame, share: float = SHARE) -> Model:
