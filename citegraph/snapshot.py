@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that the cluster shares (spark.checkpoint.dir), read again."""
+    """df as a table in the folder that the cluster shares (spark.checkpoint.dir), read again; local mode may do without."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = f"file://{tempfile.gettempdir()}/citegraph-checkpoints"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='citegraph-checkpoints-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
