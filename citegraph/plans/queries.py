@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citegraph.functions import display, extract
 from citegraph.functions import text as T
 from citegraph.operators import graph, search, sync
+from citegraph.operators.index import SearchIndex
 from citegraph.snapshot import checkpointed
 from citegraph.sources import parsers
 from citegraph.sources.testdata import Model
@@ -81,6 +82,13 @@ def bm25_prefix_search(m: Model) -> DataFrame:
     return _bm25(m, [("thou", True)], 200)
 
 
+@query(f"SELECT chunk_id, round(score, 6) AS score FROM {BODY_SQL}")
+def bm25_indexed(m: Model) -> DataFrame:
+    """Builds the stored index, then searches it."""
+    found = SearchIndex.build(m.chunks(), "chunk_id", {"text": 1.0}).bm25(TERMS)
+    return search.top(found, "chunk_id").select("chunk_id", F.round("score", 6).alias("score"))
+
+
 @query(f"SELECT item_id, round(2 * score, 6) AS score FROM {_bm25_sql(FILES, 'item_id', {'title': 5.0, 'uri': 1.0}, [('src3', True), ('fr', False)])}")
 def title_search(m: Model) -> DataFrame:
     found = search.bm25(m.files(), "item_id", {"title": 5.0, "uri": 1.0}, [("src3", True), ("fr", False)])
