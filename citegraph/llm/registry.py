@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citegraph.llm import decontaminate, html, neardup, packing, ppm, quality, sharding, tokens, toxicity, urls
+from citegraph.llm import audit, decontaminate, html, neardup, packing, ppm, quality, sharding, tokens, toxicity, urls
 
 QUERIES = {
     "op1_near_dedup": neardup.op1_near_dedup,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_url_filters": urls.op8_url_filters,
     "op9_lm_scoring": ppm.op9_lm_scoring,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op12_filter_audit": audit.op12_filter_audit,
 }
 
 ORACLE_SQL = {
     "op4_quality_rules": quality.OP4_SQL,
     "op7_extendible_hashing": sharding.OP7_SQL,
+    "op12_filter_audit": audit.OP12_SQL,
 }
