@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citegraph.llm import audit, decontaminate, html, neardup, packing, ppm, quality, sharding, tokens, toxicity, urls
+from citegraph.llm import audit, decontaminate, html, neardup, packing, ppm, quality, sharding, tokens, toxicity, urls, whiten
 
 QUERIES = {
     "op1_near_dedup": neardup.op1_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": urls.op8_url_filters,
     "op9_lm_scoring": ppm.op9_lm_scoring,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_embedding_whitening": whiten.op11_embedding_whitening,
     "op12_filter_audit": audit.op12_filter_audit,
 }
 
