@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citegraph.llm import audit, decontaminate, html, neardup, packing, ppm, quality, sharding, tokens, toxicity, urls, whiten
+from citegraph.llm import audit, credentials, decontaminate, html, neardup, packing, ppm, quality, sharding, tokens, toxicity, urls, whiten
 
 QUERIES = {
     "op1_near_dedup": neardup.op1_near_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op11_embedding_whitening": whiten.op11_embedding_whitening,
     "op12_filter_audit": audit.op12_filter_audit,
+    "op13_secret_scan": credentials.op13_secret_scan,
 }
 
 ORACLE_SQL = {
