@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def relation_weights(evidence: DataFrame) -> DataFrame:
-    """(src, dst, weight): a relation weighs as much as it has evidence rows."""
-    return evidence.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    """(src, dst, weight), with the type if evidence has one: a relation weighs as much as it has evidence rows."""
+    return evidence.where("src <> dst").groupBy("src", "dst", *[c for c in evidence.columns if c == "type"]).agg(F.count("*").alias("weight"))
 
 
 def neighbours(relations: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -132,9 +132,14 @@ def upsert_facts(facts: DataFrame) -> DataFrame:
     return facts.groupBy("entity_id", "key", "value").agg(F.max("confidence").alias("confidence"), F.min_by("tier", "at").alias("tier"))
 
 
+def confidence_of(years: Column) -> Column:
+    """Greetings in so many different years: 0.5, and 0.15 for each further one, at most 0.9."""
+    return F.least(F.lit(0.9), 0.5 + 0.15 * (years - 1))
+
+
 def greeting_confidence(evidence: DataFrame) -> DataFrame:
     """(fact_id, confidence): a user's word 1, a contact card 0.95, else 0.5 and 0.15 for each further year, at most 0.9."""
     years = F.countDistinct(F.when(F.col("method") == "greeting", F.substring("created_at", 1, 4)))
     user, card = F.max((F.col("method").startswith("user:")).cast("int")), F.max((F.col("method") == "contact").cast("int"))
-    value = F.when(user == 1, 1.0).when(card == 1, 0.95).otherwise(F.least(F.lit(0.9), 0.5 + 0.15 * (years - 1)))
+    value = F.when(user == 1, 1.0).when(card == 1, 0.95).otherwise(confidence_of(years))
     return evidence.groupBy("fact_id").agg(value.alias("confidence"))

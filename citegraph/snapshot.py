@@ -1,17 +1,33 @@
-"""Immutable snapshots: a folder for each version, a pointer to the current one, and checkpoints that cut lineage."""
+"""Tables by copy-on-write, in a folder of any Hadoop file system, and cuts of lineage.
+
+A table is dealt into buckets by a hash of its key. A manifest names, for one version, the folder that holds each bucket;
+files never change. A commit writes the buckets of the keys that it touches anew and then one manifest, by a rename: until
+then readers see the version before, and a writer that dies leaves only folders that no manifest names. Readers of a
+version keep what they read until vacuum() removes it. One writer at a time holds a lease file, with a date at which
+others may take it over.
+
+A bucket is written by as many tasks as its bytes need (a rebalance), and a table whose buckets have grown past
+BUCKET_BYTES is dealt into more of them by the next commit that touches it, so that a commit keeps costing about the
+buckets of what it changes.
+"""
 
 from __future__ import annotations
 
-import fcntl
 import json
-import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from pyspark.sql import DataFrame, SparkSession
+BUCKETS, BUCKET_BYTES, MOST_BUCKETS = 8, 256 << 20, 4096
+LEASE_SECONDS = 6 * 3600
+KEPT_VERSIONS, KEPT_SECONDS = 2, 24 * 3600
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,37 +48,218 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Cuts:
+    """checkpointed, for tables that go when the work that needs them is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/cuts-{uuid.uuid4().hex}"
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Cuts:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        Folder(self.spark, self.folder).delete("")
+
+
+class Folder:
+    """A folder of a Hadoop file system: small files, names, deletion."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.path = spark._jvm, path.rstrip("/")
+        self.fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self, name: str = "") -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self._at(name))] if self.fs.exists(self._at(name)) else []
+
+    def size(self, name: str) -> int:
+        return self.fs.getContentSummary(self._at(name)).getLength()
+
+    def age(self, name: str) -> float:
+        return time.time() - self.fs.getFileStatus(self._at(name)).getModificationTime() / 1000
+
+    def read(self, name: str) -> str | None:
+        if not self.fs.exists(self._at(name)):
+            return None
+        stream = self.fs.open(self._at(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create(self, name: str, text: str) -> None:
+        """Write a new file; an OSError if there is one."""
+        if self.fs.exists(self._at(name)):
+            raise FileExistsError(f"{self.path}/{name}")
+        try:
+            stream = self.fs.create(self._at(name), False)
+        except Exception as error:  # the file system's own refusal, by another writer's file
+            if not self.fs.exists(self._at(name)):
+                raise
+            raise FileExistsError(f"{self.path}/{name}") from error
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def put(self, name: str, text: str) -> None:
+        """Write a new file that appears whole."""
+        part = f".{name.rpartition('/')[2]}-{uuid.uuid4().hex}"
+        self.create(part, text)
+        self.fs.mkdirs(self._at(name).getParent())
+        if self.fs.exists(self._at(name)) or not self.fs.rename(self._at(part), self._at(name)):
+            self.delete(part)
+            raise FileExistsError(f"{self.path}/{name}")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self._at(name), True)
+
+
+class Change(NamedTuple):
+    """What a commit does to a table: the rows of keys (columns named in key) go, those of add come.
+
+    keys and add are read several times: cut them first. Keys are not null; those of add are among keys.
+    """
+
+    key: list[str]
+    keys: DataFrame
+    add: DataFrame
+
+
 class Store:
-    """Snapshots under a folder: v=N/<table>; CURRENT names the published one and changes by an atomic rename."""
+    """Versioned tables under a folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, Path(folder)
-        self.folder.mkdir(parents=True, exist_ok=True)
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS, bucket_bytes: int = BUCKET_BYTES):
+        self.spark, self.folder, self.buckets, self.bucket_bytes = spark, Folder(spark, folder), buckets, bucket_bytes
+        self._owner: str | None = None
 
     def current(self) -> int:
-        at = self.folder / "CURRENT"
-        return int(json.loads(at.read_text())["version"]) if at.exists() else 0
-
-    def publish(self, tables: dict[str, DataFrame], keep: int = 2) -> int:
-        version = self.current() + 1
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(str(self.folder / f"v={version}" / name))
-        new = self.folder / f".CURRENT-{uuid.uuid4().hex}"
-        new.write_text(json.dumps({"version": version, "tables": sorted(tables)}))
-        os.replace(new, self.folder / "CURRENT")
-        for old in self.folder.glob("v=*"):
-            if int(old.name[2:]) <= version - keep:
-                for p in sorted(old.rglob("*"), reverse=True):
-                    p.rmdir() if p.is_dir() else p.unlink()
-                old.rmdir()
+        """The version that readers see; 0 before the first commit."""
+        return max((int(n.split(".")[0]) for n in self.folder.names("manifests") if not n.startswith(".")), default=0)
+
+    def manifest(self, version: int | None = None) -> dict:
+        version = self.current() if version is None else version
+        text = self.folder.read(f"manifests/{version:012d}.json") if version else None
+        if version and text is None:
+            raise FileNotFoundError(f"version {version} is gone")
+        return json.loads(text) if text else {"version": 0, "state": {}, "tables": {}}
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        entry = self.manifest(version)["tables"].get(table)
+        if entry is None:
+            raise FileNotFoundError(f"no table {table}")
+        return self._rows(entry, None)
+
+    def touched(self, table: str, keys: DataFrame) -> DataFrame:
+        """The rows of these keys, from their buckets alone."""
+        entry = self.manifest()["tables"][table]
+        return self._rows(entry, self._buckets(entry["key"], keys, entry["n"])).join(keys.select(*entry["key"]).distinct(), entry["key"], "left_semi").select(*_names(entry))
+
+    def _rows(self, entry: dict, buckets: list[int] | None) -> DataFrame:
+        schema = StructType.fromJson(entry["schema"])
+        held = entry["held"] if buckets is None else {b: at for b in map(str, buckets) if (at := entry["held"].get(b))}
+        paths = [f"{self.folder.path}/data/{folder}/bucket__={b}" for b, (folder, _) in sorted(held.items())]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    @staticmethod
+    def _bucket(key: list[str], n: int) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+
+    def _buckets(self, key: list[str], keys: DataFrame, n: int) -> list[int]:
+        return sorted(r[0] for r in keys.select(self._bucket(key, n)).distinct().collect())  # at most MOST_BUCKETS
+
+    def _write(self, table: str, rows: DataFrame, key: list[str], n: int) -> dict[str, list]:
+        """Write rows in a new folder; the folder and bytes of each of their buckets."""
+        at = f"{table}-{uuid.uuid4().hex}"
+        dealt = rows.withColumn("bucket__", self._bucket(key, n)).hint("rebalance", F.col("bucket__"))
+        dealt.sortWithinPartitions("bucket__", *key).write.partitionBy("bucket__").parquet(f"{self.folder.path}/data/{at}")
+        made = [x.split("=")[1] for x in self.folder.names(f"data/{at}") if x.startswith("bucket__=")]
+        return {b: [at, self.folder.size(f"data/{at}/bucket__={b}")] for b in made}
+
+    def _changed(self, table: str, change: Change, entry: dict | None) -> dict:
+        key, n = change.key, entry["n"] if entry else self.buckets
+        if entry and entry["key"] != key:
+            raise ValueError(f"{table} is dealt by {entry['key']}")
+        held = dict(entry["held"]) if entry else {}
+        wanted = self._wanted(held, n)
+        if wanted > n:  # all of it is dealt anew, this once
+            old, n, buckets, held = self._rows(entry, None), wanted, None, {}
+        else:
+            buckets = self._buckets(key, change.keys, n)
+            old = self._rows(entry, buckets) if entry else None
+        rows = change.add
+        if old is not None:
+            rows = old.join(change.keys.select(*key).distinct(), key, "left_anti").select(*rows.columns).unionByName(rows)
+        made = self._write(table, rows, key, n)
+        if buckets is not None and (stray := set(made) - set(map(str, buckets))):
+            raise ValueError(f"{table}: rows of keys that were not named, in buckets {sorted(stray)}")
+        kept = {b: at for b, at in held.items() if buckets is not None and int(b) not in buckets}
+        return {"key": key, "n": n, "schema": json.loads(change.add.schema.json()), "held": kept | made}
+
+    def _wanted(self, held: dict[str, list], n: int) -> int:
+        total = sum(size for _, size in held.values())
+        while n < MOST_BUCKETS and total > n * self.bucket_bytes:
+            n *= 2
+        return n
+
+    def commit(self, changes: dict[str, Change], state: dict | None = None, whole: dict[str, tuple[list[str], DataFrame]] | None = None) -> int:
+        """Publish the next version: tables changed by their keys, and tables replaced (their key, their rows); returns it.
+
+        state, if given, takes the place of the stored one. Under lock() only.
+        """
+        before = self.manifest()
+        tables = dict(before["tables"])
+        for table, change in changes.items():
+            tables[table] = self._changed(table, change, tables.get(table))
+        for table, (key, rows) in (whole or {}).items():
+            tables[table] = {"key": key, "n": self.buckets, "schema": json.loads(rows.schema.json()), "held": self._write(table, rows, key, self.buckets)}
+        self._hold()
+        version = before["version"] + 1
+        self.folder.put(f"manifests/{version:012d}.json", json.dumps({"version": version, "state": before["state"] if state is None else state, "tables": tables}))
         return version
 
-    def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(str(self.folder / f"v={self.current()}" / table))
+    def publish(self, tables: dict[str, DataFrame]) -> int:
+        """Replace these tables whole, dealt by all their columns."""
+        return self.commit({}, whole={name: (df.columns, df) for name, df in tables.items()})
+
+    def vacuum(self, versions: int = KEPT_VERSIONS, seconds: float = KEPT_SECONDS) -> int:
+        """Delete all but the newest versions and the folders that none of them names, if they are old enough; how many."""
+        last, gone = self.current(), 0
+        for name in self.folder.names("manifests"):
+            if not name.startswith(".") and int(name.split(".")[0]) <= last - versions:
+                self.folder.delete(f"manifests/{name}")
+        named = {at for name in self.folder.names("manifests") for t in self.manifest(int(name.split(".")[0]))["tables"].values() for at, _ in t["held"].values()}
+        for name in self.folder.names("data"):
+            if name not in named and self.folder.age(f"data/{name}") >= seconds:
+                self.folder.delete(f"data/{name}")
+                gone += 1
+        return gone
 
     @contextmanager
-    def lock(self) -> Iterator[None]:
-        """One writer at a time; a second one fails at once."""
-        with (self.folder / "LOCK").open("w") as f:
-            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+    def lock(self, seconds: float = LEASE_SECONDS) -> Iterator[None]:
+        """One writer at a time; a second one fails at once, unless the first one's lease has run out."""
+        found = self.folder.read("LEASE")
+        if found is not None and (json.loads(found)["until"] < time.time() if found else self.folder.age("LEASE") > seconds):
+            self.folder.delete("LEASE")
+        owner = uuid.uuid4().hex
+        self.folder.create("LEASE", json.dumps({"owner": owner, "until": time.time() + seconds}))
+        self._owner = owner
+        try:
             yield
+        finally:
+            self._owner = None
+            if owner in (self.folder.read("LEASE") or ""):
+                self.folder.delete("LEASE")
+
+    def _hold(self) -> None:
+        if not self._owner or self._owner not in (self.folder.read("LEASE") or ""):
+            raise OSError("the writer's lease is not held")
+
+
+def _names(entry: dict) -> list[str]:
+    return [f["name"] for f in entry["schema"]["fields"]]

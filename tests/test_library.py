@@ -112,17 +112,6 @@ def test_files_are_listed_and_parsed(spark, tmp_path):
     assert {(r.text, r.is_excluded, r.error is None) for r in rows} == {("hello", False, True), ("", True, False)}
 
 
-def test_store_publishes_atomically(spark, tmp_path):
-    from citegraph.snapshot import Store
-
-    store = Store(spark, str(tmp_path / "s"))
-    with store.lock():
-        with pytest.raises(OSError), Store(spark, str(tmp_path / "s")).lock():
-            pass
-        assert [store.publish({"items": spark.range(n)}) for n in (1, 2, 3)] == [1, 2, 3]
-    assert store.read("items").count() == 3 and not (tmp_path / "s/v=1").exists()
-
-
 def test_stream_matches_batch(spark, tmp_path):
     from citegraph.streaming.activity import activity_windows
 
