@@ -102,7 +102,8 @@ def text_failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
             ),
             "scan",
         )
-        copied = scan.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        # A table of its own, so that the join below has two plain exchanges and a digest of many rows can be split.
+        copied = tables.write(scan.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "copied")
         marks = labels.groupBy("doc_id").agg((F.max("quality") == 1).alias("good_lost"), (F.max("toxic") == 1).alias("toxic_lost"))
         rows = scan.join(copied, "digest", "left").join(marks, "doc_id", "left")
         later = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
