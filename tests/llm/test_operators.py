@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, n_words long, row string, __text string"  # clashing names
 PROSE = "The old house by the river was sold to a man from the city who has never lived in it and does not want to. "
@@ -64,6 +65,19 @@ def test_shards_fit_and_split_only_where_needed(spark, limit):
     assert extendible_shards(empty(spark), limit=limit).count() == 0
 
 
+def test_one_key_with_many_rows_loses_none(spark):
+    from citegraph.llm.sharding import BITS, _shards, extendible_shards
+
+    frame = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x" * 60).alias("text")).unionByName(spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("y" * 90).alias("text")))
+    got = _shards(frame, "doc_id", "text", 100).select("key", "n_bytes", "depth", "prefix", "shard_bytes", "oversized").collect()
+    sums = Counter()
+    for r in got:
+        sums[r.depth, r.prefix] += r.n_bytes
+    assert len(got) == 20_500 and sum(r.key is None for r in got) == 500 and all(sums[r.depth, r.prefix] == r.shard_bytes <= 100 for r in got)
+    assert max(r.depth for r in got) > BITS  # two rows shared all 62 bits
+    assert extendible_shards(frame, limit=10).where("oversized").count() == 20_500
+
+
 def test_shards_match_sql(spark, tmp_path):
     import duckdb
 
