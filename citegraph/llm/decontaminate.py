@@ -11,22 +11,26 @@ The index is sent to all tasks. Its size is checked: items over INDEX_BYTES are
 frequencies and lengths of all items in each slice's scores.
 
 Defined results: null or empty texts are clean. Items without two words have no term and are never found. Repeated
-documents keep a row each; repeated items count once each. An empty benchmark leaves all clean. Only ids and texts are read.
+documents keep a row each; repeated items count once each. Ids of items may have any type that sorts; a null one stands
+last. An empty benchmark leaves all clean. Only ids and texts are read.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from citegraph.llm.common import materialize, ship, table, task
+from citegraph.llm.common import kept, materialize, ship, table, task
 from citegraph.llm.tokens import grouped
 
 THRESHOLD, K1, B, BLOCK = 0.4, 1.2, 0.75, 16
@@ -88,7 +92,7 @@ class Index:
     statistics: of all items, where these are a slice of them.
     """
 
-    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
+    def __init__(self, items: list[tuple[object, str]], statistics: Statistics | None = None):
         kept = [(i, words_of(t), t) for i, t in items]
         kept = [x for x in kept if len(x[1]) > 1]
         self.ids = [i for i, _, _ in kept]
@@ -213,7 +217,7 @@ class Index:
         return out
 
 
-def _slices(items: DataFrame) -> Iterator[tuple[list[tuple[int, str]], Statistics | None]]:
+def _slices(items: DataFrame) -> Iterator[tuple[list[tuple[object, str]], Statistics | None]]:
     """The items by slices of at most about INDEX_BYTES, each of which a task can hold, with statistics of all if several."""
     texts = items.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -240,26 +244,49 @@ def _slices(items: DataFrame) -> Iterator[tuple[list[tuple[int, str]], Statistic
 
 
 def find_leaks(df: DataFrame, items: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns in keep, with the items found in each row's text (item_ids) and the best score."""
+    """The columns in keep, with the items found in each row's text (item_ids, by id, nulls last) and the best score.
+
+    Items of one slice are searched in one scan. Several slices search a written table of the texts, each in tasks of its
+    own, and their hits are summed by the row.
+    """
     ship(df.sparkSession)
     rows = df.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    body = "`__text` string, item_ids array<long>, score double"
-    found = rows.withColumns({"item_ids": F.array().cast("array<long>"), "score": F.lit(0.0)})
-    for own, statistics in _slices(items):
-
-        def run(batches: Iterator[pa.RecordBatch], own: list[tuple[int, str]] = own, statistics: Statistics | None = statistics) -> Iterator[pa.RecordBatch]:
-            index = Index(own, statistics)
-            known = Known(index.vocabulary)
+    id_type = items.schema["item_id"].dataType
+    arrow_id = to_arrow_type(id_type)
+    body = f"item_ids array<{id_type.simpleString()}>, score double"
+
+    def searched(texts: DataFrame, own: list[tuple[object, str]], statistics: Statistics | None) -> DataFrame:
+        """The columns of texts but the last, the text, with what these items leaked into it."""
+        fit = uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            indexes = kept("decontaminate", dict)
+            if fit not in indexes:  # one index a worker at a time
+                indexes.clear()
+                index = Index(own, statistics)
+                indexes[fit] = index, Known(index.vocabulary)
+            index, known = indexes[fit]
             for b in batches:
-                texts = b.column(b.num_columns - 3).to_pylist()
-                leaks = [x for group in grouped(texts) for x in index.search(group, known)]
-                ids = [sorted({*before, *(index.ids[i] for i in x)}) for x, before in zip(leaks, b.column(b.num_columns - 2).to_pylist(), strict=True)]
-                best = [max([s, *x.values()]) for x, s in zip(leaks, b.column(b.num_columns - 1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], b.schema.names)
-
-        found = found.mapInArrow(task("decontaminate", run), f"{kept}, {body}")
-    return found.drop("__text")
+                leaks = [x for group in grouped(b.column(b.num_columns - 1).to_pylist()) for x in index.search(group, known)]
+                ids = [sorted({index.ids[i] for i in x}, key=lambda v: (v is None, v)) for x in leaks]
+                best = [max([0.0, *x.values()]) for x in leaks]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(arrow_id)), pa.array(best, pa.float64())], [*b.schema.names[:-1], "item_ids", "score"])
+
+        head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema[:-1])
+        return texts.mapInArrow(task("decontaminate", run), f"{head}, {body}")
+
+    numbered, hits = None, []
+    for own, statistics in _slices(items):
+        if statistics is None:  # the only one
+            return searched(rows, own, None)
+        if numbered is None:
+            numbered = materialize(rows.withColumn("__at", F.monotonically_increasing_id()), "leak-texts")
+        hits.append(materialize(searched(numbered.select("__at", "__text"), own, statistics).where(F.size("item_ids") > 0), "leak-hits"))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids"))))
+    summed = reduce(DataFrame.unionByName, hits).groupBy("__at").agg(ids.alias("item_ids"), F.max("score").alias("score"))
+    found = numbered.drop("__text").join(summed, "__at", "left")
+    none = F.array().cast(f"array<{id_type.simpleString()}>")
+    return found.select(*keep, F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

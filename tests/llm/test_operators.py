@@ -300,6 +300,20 @@ def test_leaks_are_found_and_verified(spark):
     assert index.search(["", "x y z"], known) == [{}, {}]
 
 
+@pytest.mark.parametrize("limit", [32 << 20, 200])
+def test_leaks_of_items_with_null_and_text_ids(spark, monkeypatch, limit):
+    from citegraph.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", limit)
+    sentence = lambda w: " ".join(f"{w}{i}" for i in range(20)) + f". {w} answer is here now"
+    items = [("b", sentence("one")), (None, sentence("two")), ("a", sentence("three")), ("a", sentence("three"))]
+    texts = [sentence("two") + " " + sentence("one"), sentence("three"), "nothing of it", None]
+    for kind, of in (("string", str), ("long", lambda x: ord(x))):
+        bench = spark.createDataFrame([(i if i is None else of(i), t) for i, t in items], f"item_id {kind}, text string")
+        got = {r.doc_id: r.item_ids for r in decontaminate.find_leaks(spark.createDataFrame(rows(*texts), SCHEMA), bench, ["doc_id"]).collect()}
+        assert got == {0: [of("b"), None], 1: [of("a")], 2: [], 3: []}
+
+
 def test_block_max_retrieval_is_exact():
     from citegraph.llm.decontaminate import THRESHOLD, Index
 
