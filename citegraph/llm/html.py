@@ -7,7 +7,8 @@ smoothness edges. A maximum flow saturates the cheapest cut, and the blocks on t
 short line inside an article stays, though alone it looks like boilerplate, and a lone sentence among links goes.
 
 What no reader sees or nobody wrote as the article (scripts, styles, forms, menus, page headers and footers, sidebars,
-notices, adverts, reader comments) has a cost that no tie outweighs.
+notices, adverts, reader comments) has a cost that no tie outweighs. Forms, and blocks that only their names give away, are
+so unless they wrap the article: pages stand in one form, or in a "wrapper right-sidebar".
 
 Defined results: a null or empty page has an empty text, and so has a page without content blocks. Unclosed and stray tags
 are read as browsers do, as far as blocks go; a text cut off inside a tag ends there. Repeated rows keep a row each;
@@ -54,6 +55,8 @@ GOOD_NAME = re.compile(r"(?:^|[-_\s])(?:article\w*|content|main|post|entry|story
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 #: The tie of neighbours in page order, that of blocks in one element, and the cost of what is never content.
 NEAR, TREE, NEVER_COST = 0.9, 0.7, 1e6
+#: Words of a block of prose; how many such blocks, and what share of prose outside others, a wrapper of a bad name holds.
+PROSE_WORDS, WRAPPED_PARAGRAPHS, WRAPPED_SHARE = 10, 3, 0.8
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: One attribute, as browsers read it: quotes end a value only where they began it.
@@ -65,15 +68,16 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Block:
     """A run of text inside one block element; parent: the number of the block element around that."""
 
-    __slots__ = ("parts", "parent", "links", "good", "never", "tag", "text")
+    __slots__ = ("parts", "parent", "links", "good", "never", "marks", "tag", "text")
 
-    def __init__(self, parent: int, tag: str, good: bool, never: bool):
-        self.parts, self.parent, self.links, self.tag, self.good, self.never, self.text = [], parent, 0, tag, good, never, ""
+    def __init__(self, parent: int, tag: str, good: bool, never: bool, marks: tuple[int, ...]):
+        self.parts, self.parent, self.links, self.tag, self.good, self.never, self.marks, self.text = [], parent, 0, tag, good, never, marks, ""
 
 
 class Open(NamedTuple):
     """An open element: its number, whether its text is in a named content element, whether it is never content, whether
-    it is in an article, and the place on the stack of the nearest block element, itself included."""
+    it is in an article, the place on the stack of the nearest block element, itself included, and the numbers of the
+    forms and of the elements of a bad name around it."""
 
     tag: str
     number: int
@@ -81,6 +85,7 @@ class Open(NamedTuple):
     never: bool
     inside: bool
     block: int
+    marks: tuple[int, ...]
 
 
 def _attributes(html: str, at: int) -> tuple[dict[str, str], int]:
@@ -107,27 +112,60 @@ def is_bad_name(name: str) -> bool:
     return bool(BAD_NAME.fullmatch(name) or BAD_PAIR.fullmatch(name.replace("_", "-")) or any(BAD_PART.fullmatch(p) for p in re.split(r"[-_]+|(?<=\D)(?=\d)", name)))
 
 
-def _judge(tag: str, own: dict[str, str], good: bool, never: bool, inside: bool) -> tuple[bool, bool]:
-    """Whether the element's text is in a named content element, and whether it is never content.
+def _judge(tag: str, own: dict[str, str], good: bool, never: bool, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether the element's text is in a named content element, whether it is never content, and whether it is a form or
+    a block of a bad name: that is never content unless it wraps the article.
 
     A header inside an article is judged by its name alone: it may hold the heading.
     """
     names = f"{own.get('class', '')} {own.get('id', '')}".lower().strip()
-    if tag in NEVER and not (inside and tag == "header") or own.get("role", "").lower() in BAD_ROLE:
-        never = True
-    if names and tag not in ("html", "body", "article", "main") and any(map(is_bad_name, MODIFIER.sub("", names).split())):
+    role = own.get("role", "").lower()
+    marked = tag == "form" or role == "form"
+    if tag in NEVER and tag != "form" and not (inside and tag == "header") or role in BAD_ROLE and role != "form":
         never = True
+    if _named_badly(tag, names):
+        if tag in BLOCK:
+            marked = True
+        else:
+            never = True
     if "hidden" in own or own.get("aria-hidden") == "true" or _HIDDEN.search(own.get("style", "")):
         never = True
-    if tag in ("article", "main") or names and GOOD_NAME.search(names) or own.get("role") == "main" or own.get("itemprop", "").lower() == "articlebody":
+    if tag in ("article", "main") or names and GOOD_NAME.search(names) or role == "main" or own.get("itemprop", "").lower() == "articlebody":
         good = True
-    return good, never
+    return good, never, marked
+
+
+def _named_badly(tag: str, names: str) -> bool:
+    return bool(names) and tag not in ("html", "body", "article", "main") and any(map(is_bad_name, MODIFIER.sub("", names).split()))
+
+
+def _wrappers(found: list[Block], articles: list[tuple[int, ...]], headings: list[tuple[int, ...]]) -> set[int]:
+    """The marked elements that wrap the article, whatever they are called.
+
+    They hold every article element of the page; without any, its first headings, several paragraphs, half of its prose
+    and nearly all that is not in other such elements. articles, headings: the marks around each of those elements.
+    """
+    if articles:
+        return set.intersection(*map(set, articles))
+    prose = [b for b in found if not b.never and b.text.count(" ") + 1 >= PROSE_WORDS and 2 * b.links < len(b.text)]
+    total, plain, words, paragraphs = 0, 0, Counter(), Counter()
+    for b in prose:
+        n = b.text.count(" ") + 1
+        total += n
+        plain += 0 if b.marks else n
+        for mark in b.marks:
+            words[mark] += n
+            paragraphs[mark] += 1
+    around = set.intersection(*map(set, headings)) if headings else set(words)
+    return {m for m in around if paragraphs[m] >= WRAPPED_PARAGRAPHS and 2 * words[m] >= total and words[m] >= WRAPPED_SHARE * (plain + words[m])}
 
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in its order; character references are decoded, white space is one space."""
     out: list[Block] = []
-    stack = [Open("", 0, False, False, False, 0)]
+    stack = [Open("", 0, False, False, False, 0, ())]
+    articles: list[tuple[int, ...]] = []
+    headings: list[tuple[int, ...]] = []
     opened: Counter = Counter()
     ends: dict[str, re.Pattern] = {}
     unclosed: set[str] = set()
@@ -144,7 +182,7 @@ def blocks(html: str) -> list[Block]:
             if not text.strip():
                 return
             parent = stack[stack[top.block - 1].block].number if top.block else 0
-            current = Block(parent, within.tag, top.good, top.never)
+            current = Block(parent, within.tag, top.good, top.never, top.marks)
             out.append(current)
         elif top.good and text.strip():
             current.good = True
@@ -220,14 +258,24 @@ def blocks(html: str) -> list[Block]:
                 place = stack[place - 1].block
         number += 1
         top = stack[-1]
-        good, never = top.good, top.never
+        good, never, marks = top.good, top.never, top.marks
         if own or tag in NEVER or tag in ("article", "main"):
-            good, never = _judge(tag, own, good, never, top.inside)
-        stack.append(Open(tag, number, good, never, top.inside or tag in ("article", "main"), len(stack) if tag in BLOCK else top.block))
+            good, never, marked = _judge(tag, own, good, never, top.inside)
+            if marked:
+                marks = (*marks, number)
+        if not never and tag in ("article", "main") and not _named_badly("div", f"{own.get('class', '')} {own.get('id', '')}".lower().strip()):
+            articles.append(marks)
+        elif not never and tag == "h1":
+            headings.append(marks)
+        stack.append(Open(tag, number, good, never, top.inside or tag in ("article", "main"), len(stack) if tag in BLOCK else top.block, marks))
         opened[tag] += 1
     for b in out:
         b.text = _SPACE.sub(" ", "".join(b.parts)).strip()
-    return [b for b in out if b.text]
+    out = [b for b in out if b.text]
+    wrappers = _wrappers(out, articles, headings)
+    for b in out:
+        b.never = b.never or not wrappers.issuperset(b.marks)
+    return out
 
 
 def costs(block: Block, has_good: bool) -> tuple[float, float]:

@@ -269,6 +269,34 @@ def test_main_text_judges_blocks_not_inline_runs():
     assert main_text(f"<p>Where {formula} is {prose}</p>") == f"Where x=1 is {prose}"
 
 
+WRAPPERS = [
+    "<form id=aspnetForm>{}</form>", '<div class="wrapper right-sidebar">{}</div>', '<div class="site sidebar-right"><article>{}</article></div>', '<div class="post comments-open">{}</div>',
+    '<div class="post category-promo">{}</div>', '<div class="nav-collapsed">{}</div>', '<div class="legal">{}</div>', '<div class="modal-open">{}</div>', '<form action="/"><div class="social"><main>{}</main></div></form>',
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_a_wrapper_s_name_does_not_hide_the_article(wrapper):
+    from citegraph.llm.html import main_text
+
+    lines = ["The house by the river", *(f"Paragraph {i} of the article has a dozen words or so and it ends with a stop." for i in range(6))]
+    article = f"<h1>{lines[0]}</h1>" + "".join(f"<p>{t}</p>" for t in lines[1:])
+    menu = '<ul class="menu"><li><a href=x>Home</a><li><a href=y>About us</a></ul><form><p>Search for words on all of the pages of this site here.</p><input></form>'
+    rest = '<div class="sidebar"><p>Our books are very good and cheap this week, and they have many pages.</p></div>'
+    rest += '<div class="comments"><article class="comment-body"><p>This reader is sure that the article is wrong in several ways, really.</p></article></div>'
+    for page in (menu + wrapper.format(article) + rest, wrapper.format(menu + article + rest), menu + wrapper.format(article + rest)):
+        assert main_text(f"<html><body>{page}<footer><p>All rights are with the owner of the pages.</p></footer></body></html>").split("\n") == lines
+
+
+def test_named_blocks_beside_the_article_stay_out():
+    from citegraph.llm.html import main_text
+
+    long = "".join(f"<p>Remark {i} by a reader who has a lot of time and fills the page with it.</p>" for i in range(30))
+    assert main_text(f"<h1>A short one</h1><p>Only this paragraph was written by the author of the page.</p><div id=comments>{long}</div>").split("\n")[-1].startswith("Only this")
+    notice = '<div class="cookie-notice"><p>We use cookies on this site and on all the others that we have as well.</p></div>'
+    assert main_text(f"<nav><a href=x>Home</a></nav>{notice}") == ""
+
+
 def test_html_operator_rows(spark):
     from citegraph.llm.html import extract
 
