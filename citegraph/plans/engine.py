@@ -53,7 +53,7 @@ class Engine:
     def index_text(self, folder: str | None = None) -> None:
         """Index the chunks and titles as they are now, in two new folders below folder."""
         at = [f"{folder}/{part}" if folder else None for part in ("body", "title")]
-        body = SearchIndex.build(self.tables["chunks"], "chunk_id", {"text": 1.0}, at[0])
+        body = SearchIndex.build(self.tables["chunks"], "chunk_id", {"text": 1.0}, at[0], ("item_id",))
         self.indexes = body, SearchIndex.build(self.tables["items"], "item_id", search.TITLE_COLUMNS, at[1])
 
     def search(self, query: str, limit: int = 10, source: str | None = None, kind: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
@@ -61,8 +61,10 @@ class Engine:
         for test in (source and F.col("source_id") == source, kind and F.col("kind") == kind, since and F.col("modified_at") >= since, until and F.col("modified_at") <= until):
             where = where if test is None else where & test
         terms = search.compile_query(query, self.stopwords)
-        found = [index.bm25(terms) for index in self.indexes] if terms else []
-        return search.search(self.tables["chunks"], self.tables["items"], terms, limit, where, *found)
+        if not self.indexes or not terms:
+            return search.search(self.tables["chunks"], self.tables["items"], terms, limit, where)
+        body, title = (index.top(terms, search.CANDIDATES) for index in self.indexes)
+        return search.search(self.tables["chunks"], self.tables["items"], terms, limit, where, body, title, self.indexes[0].rows_of(body))
 
     def related(self, entity: str, limit: int = 20) -> DataFrame:
         one = self.tables["entities"].where(F.col("entity_id") == entity).select("entity_id")

@@ -149,11 +149,15 @@ class Store:
             raise FileNotFoundError(f"version {version} is gone")
         return json.loads(text) if text else {"version": 0, "state": {}, "tables": {}}
 
-    def read(self, table: str, version: int | None = None) -> DataFrame:
+    def read(self, table: str, version: int | None = None, values: list | None = None) -> DataFrame:
+        """A table; with values of its one key, only the buckets that may hold them."""
         entry = self.manifest(version)["tables"].get(table)
         if entry is None:
             raise FileNotFoundError(f"no table {table}")
-        return self._rows(entry, None)
+        if values is None:
+            return self._rows(entry, None)
+        found = self.spark.sql(f"SELECT DISTINCT CAST(pmod(xxhash64(x), {entry['n']}) AS INT) FROM (SELECT explode(:values) AS x)", args={"values": F.array(*map(F.lit, values))})
+        return self._rows(entry, sorted(r[0] for r in found.collect()))
 
     def touched(self, table: str, keys: DataFrame) -> DataFrame:
         """The rows of these keys, from their buckets alone."""
@@ -173,11 +177,11 @@ class Store:
     def _buckets(self, key: list[str], keys: DataFrame, n: int) -> list[int]:
         return sorted(r[0] for r in keys.select(self._bucket(key, n)).distinct().collect())  # at most MOST_BUCKETS
 
-    def _write(self, table: str, rows: DataFrame, key: list[str], n: int) -> dict[str, list]:
-        """Write rows in a new folder; the folder and bytes of each of their buckets."""
+    def _write(self, table: str, rows: DataFrame, key: list[str], n: int, order: tuple[str, ...] = ()) -> dict[str, list]:
+        """Write rows in a new folder, in files sorted by key and order; the folder and bytes of each of their buckets."""
         at = f"{table}-{uuid.uuid4().hex}"
         dealt = rows.withColumn("bucket__", self._bucket(key, n)).hint("rebalance", F.col("bucket__"))
-        dealt.sortWithinPartitions("bucket__", *key).write.partitionBy("bucket__").parquet(f"{self.folder.path}/data/{at}")
+        dealt.sortWithinPartitions("bucket__", *key, *order).write.partitionBy("bucket__").parquet(f"{self.folder.path}/data/{at}")
         made = [x.split("=")[1] for x in self.folder.names(f"data/{at}") if x.startswith("bucket__=")]
         return {b: [at, self.folder.size(f"data/{at}/bucket__={b}")] for b in made}
 
@@ -207,17 +211,17 @@ class Store:
             n *= 2
         return n
 
-    def commit(self, changes: dict[str, Change], state: dict | None = None, whole: dict[str, tuple[list[str], DataFrame]] | None = None) -> int:
-        """Publish the next version: tables changed by their keys, and tables replaced (their key, their rows); returns it.
+    def commit(self, changes: dict[str, Change], state: dict | None = None, whole: dict[str, tuple] | None = None, drop: list[str] | None = None) -> int:
+        """Publish the next version: tables changed by their keys, replaced (key, rows, more columns to sort by), dropped.
 
-        state, if given, takes the place of the stored one. Under lock() only.
+        state, if given, takes the place of the stored one. Under lock() only. Returns the version.
         """
         before = self.manifest()
-        tables = dict(before["tables"])
+        tables = {t: entry for t, entry in before["tables"].items() if t not in (drop or [])}
         for table, change in changes.items():
             tables[table] = self._changed(table, change, tables.get(table))
-        for table, (key, rows) in (whole or {}).items():
-            tables[table] = {"key": key, "n": self.buckets, "schema": json.loads(rows.schema.json()), "held": self._write(table, rows, key, self.buckets)}
+        for table, (key, rows, *order) in (whole or {}).items():
+            tables[table] = {"key": key, "n": self.buckets, "schema": json.loads(rows.schema.json()), "held": self._write(table, rows, key, self.buckets, tuple(order))}
         self._hold()
         version = before["version"] + 1
         self.folder.put(f"manifests/{version:012d}.json", json.dumps({"version": version, "state": before["state"] if state is None else state, "tables": tables}))
