@@ -11,6 +11,7 @@ from citegraph.functions import display, extract
 from citegraph.functions import text as T
 from citegraph.operators import graph, search, sync
 from citegraph.operators.index import SearchIndex
+from citegraph.operators.vectors import VectorIndex
 from citegraph.snapshot import checkpointed
 from citegraph.sources import parsers
 from citegraph.sources.testdata import Model
@@ -67,9 +68,20 @@ SELECT {key}, {score} AS score FROM r, s WHERE {" OR ".join(f"f{i} > 0" for i in
 BODY_SQL = _bm25_sql(CHUNKS, "chunk_id", {"text": 1.0}, TERMS)
 
 
+_indexes: dict[tuple[str, str], tuple] = {}
+
+
+def indexes(m: Model) -> tuple[SearchIndex, SearchIndex, VectorIndex]:
+    """The stored indexes of chunks, titles and vectors, made once an application and folder."""
+    at = m.spark.sparkContext.applicationId, m.folder
+    if at not in _indexes:
+        body = SearchIndex.build(m.chunks(), "chunk_id", {"text": 1.0}, carried=("item_id",))
+        _indexes[at] = body, SearchIndex.build(m.files(), "item_id", search.TITLE_COLUMNS), VectorIndex.build(m.table("embeddings"))
+    return _indexes[at]
+
+
 def _bm25(m: Model, terms: list[tuple[str, bool]], n: int) -> DataFrame:
-    found = search.bm25(m.chunks(), "chunk_id", {"text": 1.0}, terms)
-    return search.top(found, "chunk_id", n).select("chunk_id", F.round("score", 6).alias("score"))
+    return indexes(m)[0].top(terms, n).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT chunk_id, round(score, 6) AS score FROM {BODY_SQL}")
@@ -83,16 +95,32 @@ def bm25_prefix_search(m: Model) -> DataFrame:
 
 
 @query(f"SELECT chunk_id, round(score, 6) AS score FROM {BODY_SQL}")
-def bm25_indexed(m: Model) -> DataFrame:
-    """Builds the stored index, then searches it."""
-    found = SearchIndex.build(m.chunks(), "chunk_id", {"text": 1.0}).bm25(TERMS)
+def bm25_scan(m: Model) -> DataFrame:
+    """Without an index: a scan of all texts."""
+    found = search.bm25(m.chunks(), "chunk_id", {"text": 1.0}, TERMS)
     return search.top(found, "chunk_id").select("chunk_id", F.round("score", 6).alias("score"))
 
 
+@query(f"SELECT chunk_id, round(score, 6) AS score FROM {BODY_SQL}")
+def bm25_indexed(m: Model) -> DataFrame:
+    """All matches by the stored index, then the best."""
+    return search.top(indexes(m)[0].bm25(TERMS), "chunk_id").select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT chunk_id, round(score, 6) AS score FROM {BODY_SQL}")
+def bm25_after_updates(m: Model) -> DataFrame:
+    """An index of the texts in one language, from which they are taken and to which all others are added in two updates."""
+    chunks = m.chunks().join(m.table("documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("item_id"), "lang"), "item_id")
+    index = SearchIndex.build(chunks.where("lang = 'en'").withColumn("text", F.concat(F.lit("under the "), "text")), "chunk_id", {"text": 1.0})
+    index.update(chunks.where("lang = 'en'"), chunks.where("lang is null or lang not in ('en', 'de')"))
+    index.update(chunks.limit(0), chunks.where("lang in ('en', 'de')"))
+    return index.top(TERMS, 200).select("chunk_id", F.round("score", 6).alias("score"))
+
+
 @query(f"SELECT item_id, round(2 * score, 6) AS score FROM {_bm25_sql(FILES, 'item_id', {'title': 5.0, 'uri': 1.0}, [('src3', True), ('fr', False)])}")
 def title_search(m: Model) -> DataFrame:
-    found = search.bm25(m.files(), "item_id", {"title": 5.0, "uri": 1.0}, [("src3", True), ("fr", False)])
-    return search.top(found, "item_id").select("item_id", F.round(F.col("score") * search.TITLE_WEIGHT, 6).alias("score"))
+    found = indexes(m)[1].top([("src3", True), ("fr", False)], search.CANDIDATES)
+    return found.select("item_id", F.round(F.col("score") * search.TITLE_WEIGHT, 6).alias("score"))
 
 
 @query(
@@ -102,7 +130,9 @@ FULL JOIN {_bm25_sql(FILES, "item_id", {"title": 5.0, "uri": 1.0}, TERMS)} t USI
 JOIN {FILES} f USING (item_id) LEFT JOIN {CHUNKS} c USING (item_id) WHERE f.source_id = 'src0' ORDER BY 2 DESC, 1 LIMIT 10"""
 )
 def search_filtered(m: Model) -> DataFrame:
-    found = search.search(m.chunks(), m.files(), TERMS, 10, F.col("source_id") == "src0")
+    bodies, titles, _ = indexes(m)
+    body = bodies.top(TERMS, search.CANDIDATES)
+    found = search.search(m.chunks(), m.files(), TERMS, 10, F.col("source_id") == "src0", body, titles.top(TERMS, search.CANDIDATES), bodies.rows_of(body))
     return found.select("item_id", F.round("score", 6).alias("score"), "snippet")
 
 
@@ -119,6 +149,18 @@ def knn_l2(m: Model) -> DataFrame:
     return search.nearest(m.table("embeddings"), _vector(m), 20, None).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+@query(f"SELECT vec_id, round(distance, 6) AS distance FROM ({KNN_SQL})")
+def knn_cells_exact(m: Model) -> DataFrame:
+    """By the stored cells, going on until no other cell can hold a nearer vector."""
+    return indexes(m)[2].search(_vector(m), 20, exact=True).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def knn_cells(m: Model) -> DataFrame:
+    """By the nearest stored cells alone; the tests measure its recall."""
+    return indexes(m)[2].search(_vector(m), 20)
+
+
 @query(f"SELECT vec_id, round(distance, 6) AS distance FROM ({KNN_SQL}) WHERE distance <= 1.22")
 def knn_filtered(m: Model) -> DataFrame:
     return search.nearest(m.table("embeddings"), _vector(m), 20).select("vec_id", F.round("distance", 6).alias("distance"))
@@ -130,9 +172,9 @@ b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY distance, vec_id) - 1 AS
 SELECT id, round(coalesce(1 / (60 + a.r), 0) + coalesce(1 / (60 + b.r), 0), 9) AS score FROM a FULL JOIN b USING (id)"""
 )
 def rrf_fusion(m: Model) -> DataFrame:
-    words = search.top(search.bm25(m.chunks(), "chunk_id", {"text": 1.0}, TERMS), "chunk_id")
+    words = indexes(m)[0].top(TERMS, search.CANDIDATES)
     words = search.ranked(words, "chunk_id", [F.desc(F.round("score", 9)), F.col("chunk_id")]).select(F.split(F.split("chunk_id", "#")[0], ":")[1].cast("long").alias("id"), "rank")
-    near = search.ranked(search.nearest(m.table("embeddings"), _vector(m), 20, None), "vec_id", [F.col("distance"), F.col("vec_id")]).withColumnRenamed("vec_id", "id")
+    near = search.ranked(indexes(m)[2].search(_vector(m), 20, exact=True), "vec_id", [F.col("distance"), F.col("vec_id")]).withColumnRenamed("vec_id", "id")
     return search.fuse(words, near, "id").select("id", F.round("score", 9).alias("score"))
 
 
@@ -483,8 +525,10 @@ def blacklist_union(m: Model) -> DataFrame:
 t AS (SELECT *, sum(cost) OVER (ORDER BY rank) + 30 AS total FROM c) SELECT rank::INT AS rank, chunk_id, total::BIGINT AS total FROM t WHERE total <= 2000 OR rank = 0"""
 )
 def budget_cut(m: Model) -> DataFrame:
-    hits = search.ranked(search.top(search.bm25(m.chunks(), "chunk_id", {"text": 1.0}, TERMS), "chunk_id"), "chunk_id", [F.desc(F.round("score", 9)), F.col("chunk_id")])
-    costs = hits.join(m.chunks(), "chunk_id").select("rank", "chunk_id", (F.size(T.tokens(F.left("text", F.lit(200)))) + 12).cast("long").alias("cost"))
+    bodies = indexes(m)[0]
+    found = bodies.top(TERMS, search.CANDIDATES)
+    hits = search.ranked(found, "chunk_id", [F.desc(F.round("score", 9)), F.col("chunk_id")])
+    costs = hits.join(bodies.rows_of(found), "chunk_id").select("rank", "chunk_id", (F.size(T.tokens(F.left("text", F.lit(200)))) + 12).cast("long").alias("cost"))
     return sync.budget_cut(costs, 2000, 30).select("rank", "chunk_id", "total")
 
 
