@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 
 def main(args: list[str] | None = None) -> int:
+    from citegraph.plans import people_queries, sync_queries  # noqa: F401  they add their queries
     from citegraph.plans.queries import QUERIES
 
     parser = argparse.ArgumentParser(prog="citegraph", description=__doc__)

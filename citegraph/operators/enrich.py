@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from citegraph.functions import text as T
 
-DOC_TYPES = ("contract", "invoice", "receipt", "letter", "report", "notes", "manual", "form", "statement", "certificate", "ticket", "presentation", "spreadsheet", "article", "code", "other")
+#: The types of documents, the relations of people to the user, and what a keyword looks like.
+DOC_TYPES = ("contract", "invoice", "receipt", "payslip", "tax", "bank", "insurance", "medical", "identity", "housing", "travel", "school", "work", "personal", "photo", "other")
+RELATIONS = ("sibling", "parent", "child", "spouse", "partner", "friend", "colleague", "manager", "landlord", "doctor", "family", "other", "unknown")
+KEYWORD = r"^[\p{L}\p{N}_][\p{L}\p{N}_ '\-]{0,29}$"
 LONGEST_TOPIC, MOST_KEYWORDS, CONFIDENCE, BATCH = 60, 8, 0.7, 50
 SCHEMA = "id string, version string, doc_type string, topic string, keywords array<string>"
 
@@ -46,6 +49,7 @@ def validated(answers: DataFrame, known: DataFrame, phrases: list[str]) -> DataF
         .when(F.col("times") > 1, "duplicate id")
         .when(~F.col("doc_type").isin(*DOC_TYPES) | F.col("doc_type").isNull(), "unknown type")
         .when((F.length("topic") > LONGEST_TOPIC) | (F.size("keywords") > MOST_KEYWORDS), "too long")
+        .when(F.exists("keywords", lambda k: ~k.rlike(KEYWORD)), "not a keyword")
         .when(T.risk_score(words, phrases) >= T.FLAG_AT, "unsafe text")
         .when(F.col("version") != F.col("now"), "stale")
     )
