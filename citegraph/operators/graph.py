@@ -96,29 +96,76 @@ def components(pairs: DataFrame, node: str, key: str, cut) -> DataFrame:
     return labels.select("node", F.col("label").alias("component"))
 
 
-def communities(edges: DataFrame, cut, most_rounds: int = 200) -> DataFrame:
-    """(entity_id, community) by weighted label propagation over undirected edges (src, dst, weight).
-
-    A node takes the label with the most weight among its neighbours if that is more than its own label has, one of a
-    fixed order at ties; a random half of the nodes moves in a round, the same for a given graph. It ends when no node
-    wants to move; a graph that has not come to rest after most_rounds is an error, not an unfinished answer.
+def communities(edges: DataFrame, cut, me: DataFrame | None = None, patience: int = 4) -> DataFrame:
+    """(entity_id, community) by modularity over undirected edges (src, dst, weight): local moves, then contraction, by level.
+
+    Weights of both directions are summed; the entities in me (entity_id) are left out. In a round every node weighs its
+    neighbours' communities by what modularity gains, from its edges to them, its degree and their totals; a half of the
+    nodes, another one each round, moves. A level ends when none wants to move or the best modularity has stood for some
+    rounds; its communities are the next level's nodes. It ends when a level gains nothing. The best labels seen are kept, so
+    modularity never falls from level to level. Communities are named by their least member; the result for a given graph
+    is the same each time. cut must end the lineage.
     """
+    if me is not None:
+        for c in ("src", "dst"):
+            edges = edges.join(me.select(F.col("entity_id").alias(c)), c, "left_anti")
     a, b = F.least("src", "dst"), F.greatest("src", "dst")
-    flat = edges.where("src <> dst").groupBy(a.alias("a"), b.alias("b")).agg(F.sum("weight").alias("w"))
-    both = cut(flat.union(flat.select("b", "a", "w")).toDF("node", "other", "w"))
-    labels = cut(both.select("node").distinct().withColumn("label", F.col("node")))
-    for i in range(most_rounds):
-        votes = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("node").agg(F.max(F.struct("w", F.negative(F.xxhash64("label")).alias("order"), "label")).alias("best"))
-        own = labels.join(votes.withColumnRenamed("w", "own"), ["node", "label"], "left").join(best, "node")
-        gain = cut(own.select("node", "label", F.col("best.label").alias("new"), (F.col("best.w") > F.coalesce("own", F.lit(0))).alias("wants")))
-        if gain.where("wants").isEmpty():
+    flat = edges.where("src <> dst").groupBy(a.alias("a"), b.alias("b")).agg(F.sum("weight").cast("double").alias("w"))
+    links = cut(flat.union(flat.select("b", "a", "w")).toDF("node", "other", "w"))  # both ways; inside a node once a way
+    total = links.agg(F.sum("w")).first()[0]
+    members = cut(links.select(F.col("node").alias("entity_id")).distinct().withColumn("node", F.col("entity_id")))
+    best = -1.0
+    while total:
+        labels, quality = _moved(links, total, patience, cut)
+        if quality <= best + 1e-9:
             break
-        moves = F.col("wants") & (F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0)
-        labels = gain.select("node", F.when(moves, F.col("new")).otherwise(F.col("label")).alias("label"))
-    else:
-        raise RuntimeError(f"communities did not come to rest in {most_rounds} rounds")
-    return labels.select(F.col("node").alias("entity_id"), F.col("label").alias("community"))
+        best = quality
+        members = cut(members.join(labels, "node").select("entity_id", F.col("label").alias("node")))
+        ends = links.join(labels.toDF("node", "x"), "node").join(labels.toDF("other", "y"), "other")
+        links = cut(ends.groupBy("x", "y").agg(F.sum("w").alias("w")).toDF("node", "other", "w"))
+    names = members.groupBy("node").agg(F.min("entity_id").alias("community"))
+    return members.join(names, "node").select("entity_id", "community")
+
+
+def _moved(links: DataFrame, total: float, patience: int, cut) -> tuple[DataFrame, float]:
+    """(node, label) after the local moves of one level, and their modularity."""
+    degrees = links.groupBy("node").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("node") == F.col("other"), F.col("w")).otherwise(0.0)).alias("self"))
+    now = cut(degrees.withColumn("label", F.col("node")))
+    outer = links.where("node <> other")
+    best, found, stood, round_ = -1.0, now, 0, 0
+    while True:
+        sums = now.groupBy("label").agg(F.sum("k").alias("tot"))
+        votes = outer.join(now.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("w").alias("w"))
+        rows = votes.unionByName(now.select("node", "label", F.lit(0.0).alias("w"))).groupBy("node", "label").agg(F.sum("w").alias("w"))
+        rows = rows.join(sums, "label").join(now.select("node", "k", "self", F.col("label").alias("own")), "node")
+        stays = F.col("label") == F.col("own")
+        gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0)) / total
+        choice = F.max(F.struct(F.round(gain, 9).alias("gain"), F.negative(F.xxhash64("label")).alias("order"), "label"))
+        at = F.max(F.when(stays, F.struct(F.round(gain, 9).alias("gain"), "w", "tot")))
+        chosen = rows.groupBy("node", "k", "self", "own").agg(choice.alias("new"), at.alias("at"))
+        state = cut(chosen.select("node", "k", "self", F.col("own").alias("label"), F.col("new.label").alias("new"), (F.col("new.gain") > F.col("at.gain")).alias("wants"), F.col("at.w").alias("inside")))
+        within = state.agg(F.sum(F.col("inside") + F.col("self"))).first()[0]
+        apart = now.groupBy("label").agg(F.sum("k").alias("tot")).agg(F.sum((F.col("tot") / total) ** 2)).first()[0]
+        quality = within / total - apart
+        if quality > best + 1e-9:
+            best, found, stood = quality, now, 0
+        else:
+            stood += 1
+        if stood >= patience or state.where("wants").isEmpty():
+            return found.select("node", "label"), best
+        goes = F.col("wants") & (F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(2)) == 0)
+        now = state.select("node", "k", "self", F.when(goes, F.col("new")).otherwise(F.col("label")).alias("label"))
+        round_ += 1
+
+
+def modularity(edges: DataFrame, members: DataFrame) -> float:
+    """That of communities (entity_id, community) over undirected edges (src, dst, weight), without edges to oneself."""
+    ends = edges.where("src <> dst").join(members.toDF("src", "x"), "src").join(members.toDF("dst", "y"), "dst")
+    own = ends.agg(F.sum("weight").alias("all"), F.sum(F.when(F.col("x") == F.col("y"), F.col("weight")).otherwise(0)).alias("within")).first()
+    if not own["all"]:
+        return 0.0
+    degree = ends.select(F.col("x").alias("c"), "weight").unionByName(ends.select(F.col("y").alias("c"), "weight")).groupBy("c").agg(F.sum("weight").alias("k"))
+    return own["within"] / own["all"] - degree.agg(F.sum((F.col("k") / (2 * own["all"])) ** 2)).first()[0]
 
 
 def facts_with_evidence(facts: DataFrame, evidence: DataFrame, items: DataFrame, most: int = 10) -> DataFrame:
