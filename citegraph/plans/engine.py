@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citegraph.functions import display
 from citegraph.functions import text as T
 from citegraph.operators import graph, people, report, search, sync
 from citegraph.operators.index import SearchIndex
@@ -56,15 +57,20 @@ class Engine:
         body = SearchIndex.build(self.tables["chunks"], "chunk_id", {"text": 1.0}, at[0], ("item_id",))
         self.indexes = body, SearchIndex.build(self.tables["items"], "item_id", search.TITLE_COLUMNS, at[1])
 
-    def search(self, query: str, limit: int = 10, source: str | None = None, kind: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    def search(self, query: str, limit: int = 10, source: str | None = None, kind: str | None = None, since: str | None = None, until: str | None = None, reveal: bool = False) -> DataFrame:
+        """(item_id, score, snippet): the window of the best chunk with the most terms, marked, secrets taken out."""
         where: Column = F.lit(True)
         for test in (source and F.col("source_id") == source, kind and F.col("kind") == kind, since and F.col("modified_at") >= since, until and F.col("modified_at") <= until):
             where = where if test is None else where & test
         terms = search.compile_query(query, self.stopwords)
-        if not self.indexes or not terms:
-            return search.search(self.tables["chunks"], self.tables["items"], terms, limit, where)
-        body, title = (index.top(terms, search.CANDIDATES) for index in self.indexes)
-        return search.search(self.tables["chunks"], self.tables["items"], terms, limit, where, body, title, self.indexes[0].rows_of(body))
+        found = ()
+        if self.indexes and terms:
+            body, title = (index.top(terms, search.CANDIDATES) for index in self.indexes)
+            found = body, title, self.indexes[0].rows_of(body)
+        rows = search.search(self.tables["chunks"], self.tables["items"], terms, limit, where, *found, most=None)
+        rows = rows.withColumnRenamed("snippet", "text")
+        marked = display.shown(rows, "text", terms) if terms and not reveal else rows.withColumn("snippet", F.left("text", F.lit(search.SNIPPET)))
+        return marked.select("item_id", "score", "snippet").orderBy(F.desc(F.round("score", 6)), "item_id")
 
     def related(self, entity: str, limit: int = 20) -> DataFrame:
         one = self.tables["entities"].where(F.col("entity_id") == entity).select("entity_id")
@@ -96,9 +102,18 @@ class Engine:
         """(item_id, title, body, cut): the chunks of one item in order."""
         parts = self.tables["chunks"].where(F.col("item_id") == item).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("x"))
         whole = F.array_join(F.transform("x", lambda c: c["text"]), "\n\n")
-        text, more = report.cut_words(whole if reveal else T.redact(whole), most_words)
         titles = self.tables["items"].where(F.col("item_id") == item).select("item_id", "title")
-        return titles.join(parts, "item_id", "left").select("item_id", "title", F.coalesce(text, F.lit("")).alias("body"), F.coalesce(more, F.lit(False)).alias("cut"))
+        rows = titles.join(parts, "item_id", "left").select("item_id", "title", F.coalesce(whole, F.lit("")).alias("body"))
+        rows = rows if reveal else self._redacted(rows, "title", "body")
+        text, more = report.cut_words(F.col("body"), most_words)
+        return rows.select("item_id", "title", text.alias("body"), more.alias("cut"))
+
+    @staticmethod
+    def _redacted(rows: DataFrame, *columns: str) -> DataFrame:
+        """The few rows that are shown, without the secrets in the columns."""
+        for c in columns:
+            rows = display.shown(rows, c).drop("kinds")
+        return rows
 
     def thread(self, item: str, limit: int = 50) -> DataFrame:
         """The items of the thread of one item, oldest first."""
@@ -125,9 +140,9 @@ class Engine:
 
     def pack(self, query: str, budget: int = 2000, reveal: bool = False) -> dict:
         """A redacted, fenced pack of the best hits within a budget of words; the first hit is always in."""
-        rows = self.search(query, 50).join(self.tables["items"].select("item_id", "title"), "item_id")
-        show = (lambda c: c) if reveal else T.redact
-        rows = rows.select("item_id", "score", T.fence(show(F.coalesce("title", F.lit("")))).alias("title"), T.fence(show(F.coalesce("snippet", F.lit("")))).alias("snippet"))
+        rows = self.search(query, 50, reveal=reveal).join(self.tables["items"].select("item_id", "title"), "item_id")
+        rows = rows if reveal else self._redacted(rows, "title")
+        rows = rows.select("item_id", "score", T.fence(F.coalesce("title", F.lit(""))).alias("title"), T.fence(F.coalesce("snippet", F.lit(""))).alias("snippet"))
         found, total = [], len(NOTICE.split())
         for r in rows.orderBy(F.desc("score"), "item_id").collect():  # at most 50 rows
             total += len(r.snippet.split()) + len(r.title.split()) + 12

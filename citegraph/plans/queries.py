@@ -12,7 +12,7 @@ from citegraph.functions import text as T
 from citegraph.operators import graph, search, sync
 from citegraph.operators.index import SearchIndex
 from citegraph.operators.vectors import VectorIndex
-from citegraph.snapshot import checkpointed
+from citegraph.snapshot import Cuts, checkpointed
 from citegraph.sources import parsers
 from citegraph.sources.testdata import Model
 
@@ -557,7 +557,8 @@ def person_components(m: Model) -> DataFrame:
 
 @query()
 def communities(m: Model) -> DataFrame:
-    return graph.communities(graph.relation_weights(m.wrote()), checkpointed)
+    with Cuts(m.spark) as cut:
+        return checkpointed(graph.communities(graph.relation_weights(m.wrote()), cut))
 
 
 @query("SELECT conv_id, count(*)::BIGINT AS turns, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id")
