@@ -79,6 +79,9 @@ class Folder:
     def names(self, name: str = "") -> list[str]:
         return [s.getPath().getName() for s in self.fs.listStatus(self._at(name))] if self.fs.exists(self._at(name)) else []
 
+    def has(self, name: str) -> bool:
+        return self.fs.exists(self._at(name))
+
     def size(self, name: str) -> int:
         return self.fs.getContentSummary(self._at(name)).getLength()
 
