@@ -250,7 +250,10 @@ def best_plan(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
 
 
 def pack(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """pieces with sequence_id and offset; pieces must be a written table, as it is read three times."""
+    """pieces with sequence_id and offset; pieces must be a written table, as it is read three times.
+
+    Placing is a task of its own, so that workers let go of what they remember of tokens.
+    """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # at most capacity rows
         counts[length] = n
@@ -277,7 +280,7 @@ def pack(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Da
             i = np.searchsorted(start, place, side="right") - 1
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(first[i] + place - start[i]), pa.array(offset[i])], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, f"`{key}` {pieces.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(task("packing places", run), f"`{key}` {pieces.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
