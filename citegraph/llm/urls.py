@@ -1,31 +1,32 @@
 """URL filters: rules first, then words of the host and path scored by naive Bayes.
 
-Names of hosts are split into words by the most likely segmentation (Viterbi over a unigram table): common words, and the
-words that stand alone in the paths of all urls, MAX_WORDS of the most frequent. A multinomial naive Bayes then scores the
-words of host and path. Its counts come from all urls: a url whose host holds a word of SEEDS teaches the block class by
-its other words, any other url the allow class. A seed itself has fixed odds, so that seeds among words of allowed urls
-are allowed, and words of seeded urls block without a seed. Words are counted in 2**16 hashed cells, so what is counted,
-sent and broadcast has a fixed size however many urls there are. A host's words count once for each of its urls.
+Names of hosts are split into words by the most likely segmentation (Viterbi over a unigram table): common words, and all
+words that stand alone in the paths of all urls. The table is never sent whole: the substrings of the different hosts are
+joined with it, so a host meets the words inside it and no others. A multinomial naive Bayes then scores the words of host
+and path. Its counts come from all urls and all words: a url whose host holds a word of SEEDS teaches the block class by
+its other words, any other url the allow class. A url is judged by what others teach, and a word's prior counts part as the
+classes do, so a rare word says little. A seed itself has fixed odds, so that seeds among words of allowed urls are allowed, and words of seeded urls
+block without a seed. A host's words count once for each of its urls. Keys that many rows share, hosts or words, are met
+by a broadcast of at most HOT of them, others by a shuffle.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and is scored on no word,
 which allows it. A label over 63 letters, which no host name can have, is segmented 63 letters at a time. Repeated rows
-keep a row each; only page_id and url are read.
+keep a row each; only page_id and url are read. Of two equally likely segmentations the one with the longer last word
+stays. Log odds are summed in billionths, so that no order of rows changes a score.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import ship, table, task
+from citegraph.llm.common import Tables, materialize, ship, table, task
 
 
 class Rule(NamedTuple):
@@ -52,17 +53,22 @@ COMMON = (
     "people hotel tour event events daily weekly today times post press journal report weather maps wiki learn academy college open source"
 ).split()
 
-CELLS = 1 << 16
-#: Prior share of urls to block, smoothing, and the longest word and label.
-PRIOR, ALPHA, LONGEST_WORD, LONGEST_LABEL = 0.1, 0.5, 24, 63
-#: Log odds of a seed; words of paths in the unigram table; from how many urls on words count, there and in the odds.
-SEED_ODDS, MAX_WORDS, LEAST_URLS = 3.0, 50_000, 3
+#: Prior share of urls to block, log odds of a seed, and the prior counts of a word in the odds.
+PRIOR, SEED_ODDS, PRIOR_COUNT = 0.1, 3.0, 10.0
+#: The lengths of a counted word, and the longest label.
+SHORTEST_WORD, LONGEST_WORD, LONGEST_LABEL = 4, 24, 63
+#: A key with more than this part of all rows is hot; fewer than so many are.
+HOT = 1_000
+ROW, UNITS = "__row", 1e9
+
+
+def _weights() -> dict[str, float]:
+    return {w: 1.0 / (i + 3) for i, w in enumerate(dict.fromkeys([*COMMON, *sorted(SEEDS)]))}
 
 
 def unigrams(counted: dict[str, int] | None = None) -> dict[str, float]:
     """Log probabilities of words: the common ones by Zipf's law, and counted ones, all together as weighty as those."""
-    words = list(dict.fromkeys([*COMMON, *sorted(SEEDS)]))
-    weight = {w: 1.0 / (i + 3) for i, w in enumerate(words)}
+    weight = _weights()
     if counted:
         share = sum(weight.values()) / sum(counted.values())
         for w, n in counted.items():
@@ -71,11 +77,21 @@ def unigrams(counted: dict[str, int] | None = None) -> dict[str, float]:
     return {w: math.log(v / total) for w, v in weight.items()}
 
 
-def path_words(urls: DataFrame) -> dict[str, int]:
-    """Words of four letters and more that stand alone in paths, by how many urls: at most MAX_WORDS."""
-    words = urls.select(F.explode(F.array_distinct(F.split(F.lower("path"), "[^a-z]+"))).alias("word")).where(F.length("word").between(4, LONGEST_WORD))
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_URLS)
-    return {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()}
+def pooled(words: DataFrame) -> tuple[dict[str, float], float]:
+    """What unigrams says of counted words (word, n) of any number: the common words' logs, and what to add to another's log n."""
+    weight, total = _weights(), words.agg(F.sum("n")).first()[0]
+    if not total:
+        return unigrams(), 0.0
+    share = sum(weight.values()) / total
+    counts = {r["word"]: r["n"] for r in words.where(F.col("word").isin(list(weight))).collect()}  # at most the common words
+    whole = sum(weight.values()) + sum(max(0.0, w - counts[k] * share) if k in counts else w for k, w in weight.items())
+    return {k: math.log(max(w, counts.get(k, 0) * share) / whole) for k, w in weight.items()}, math.log(share / whole)
+
+
+def path_words(urls: DataFrame) -> DataFrame:
+    """(word, n): words that stand alone in paths, by how many urls."""
+    words = urls.select(F.explode(F.array_distinct(F.split(F.lower("path"), "[^a-z]+"))).alias("word"))
+    return words.where(F.length("word").between(SHORTEST_WORD, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
 
 
 class Segmenter:
@@ -86,22 +102,18 @@ class Segmenter:
     """
 
     def __init__(self, table: dict[str, float]):
-        self.table, self.memo = table, {}
-        self.longest = min(LONGEST_WORD, max(map(len, table), default=1))
+        self.table = table
 
     def cost(self, word: str) -> float:
-        known = self.table.get(word)
-        return known if known is not None else -8.0 - 2.0 * len(word) - 2.0 * max(0, 5 - len(word))
+        return max(self.table.get(word, -math.inf), -8.0 - 2.0 * len(word) - 2.0 * max(0, 5 - len(word)))
 
     def split(self, name: str) -> list[str]:
-        if name in self.memo:
-            return self.memo[name]
         out: list[str] = []
         for at in range(0, len(name), LONGEST_LABEL):
             part = name[at : at + LONGEST_LABEL]
             best, back = [0.0], [0]
             for end in range(1, len(part) + 1):
-                score, start = max((best[s] + self.cost(part[s:end]), -s) for s in {*range(max(0, end - self.longest), end), 0})
+                score, start = max((best[s] + self.cost(part[s:end]), -s) for s in {*range(max(0, end - LONGEST_WORD), end), 0})
                 best.append(score)
                 back.append(-start)
             words, end = [], len(part)
@@ -109,31 +121,16 @@ class Segmenter:
                 words.append(part[back[end] : end])
                 end = back[end]
             out += reversed(words)
-        if len(self.memo) > 100_000:
-            self.memo.clear()
-        self.memo[name] = out
         return out
 
 
-_LETTERS, _PATH = re.compile(r"[a-z]+"), re.compile(r"[a-z]+|[0-9]+")
+_LETTERS = re.compile(r"[a-z]+")
 
 
 def host_words(host: str, segmenter: Segmenter) -> list[str]:
     return [w for label in _LETTERS.findall(host) for w in segmenter.split(label)]
 
 
-def words_of(host: str, path: str, segmenter: Segmenter) -> tuple[list[str], int]:
-    """The words of host and path but seeds, marked by where they stand, and the seeds in the host. Digits are one word."""
-    own = host_words(host, segmenter)
-    rest = [w for w in own if w not in SEEDS]
-    tail = ["/#" if w[0].isdigit() else f"/{w}" for w in _PATH.findall(path.lower())]
-    return rest + tail, len(own) - len(rest)
-
-
-def _cells(words: list[str]) -> list[int]:
-    return [zlib.crc32(w.encode()) % CELLS for w in words]
-
-
 def parts(url: str = "url") -> tuple[Column, Column]:
     """Host and path: from the first :// on; the host in lower-case letters A to Z."""
     pattern = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -152,54 +149,98 @@ def matched_rule(rules: tuple[Rule, ...], host: Column, path: Column) -> tuple[C
     return text, verdict
 
 
-def train(urls: DataFrame, table: dict[str, float] | None = None) -> np.ndarray:
-    """Log likelihood ratios (block to allow) of the hashed cells, from the host and path of every row of urls."""
+def join_hot(big: DataFrame, small: DataFrame, key: str, weight: str) -> DataFrame:
+    """big with the row of small for its key; weight counts the rows of big that a row of small meets.
+
+    The keys of more than one in HOT of all rows, of which there are fewer than HOT, are broadcast; others are shuffled.
+    """
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * HOT > total
+    often = F.broadcast(small.where(hot).drop(weight))
+    rest = big.join(often.select(key), key, "left_anti")
+    return big.join(often, key).unionByName(rest.join(small.where(~hot).drop(weight), key))
+
+
+def segmented(urls: DataFrame, words: DataFrame | None, table: dict[str, float] | None = None) -> DataFrame:
+    """(host, n, host_words): the different hosts, each with its urls and words, by the counted words or by a given table."""
     ship(urls.sparkSession)
-    known = unigrams() if table is None else table
+    hosts = urls.groupBy("host").agg(F.count("*").alias("n"))
+    known, unit, found = table, 0.0, F.lit(None).cast("array<struct<word:string,n:bigint>>").alias("found")
+    if words is not None:
+        known, unit = pooled(words)
+        starts = lambda c: F.sequence(F.lit(0), F.floor((F.length(c) - 1) / LONGEST_LABEL).cast("int"))
+        labels = F.flatten(F.transform(F.regexp_extract_all("host", F.lit("[a-z]+"), F.lit(0)), lambda c: F.transform(starts(c), lambda i: F.substr(c, i * LONGEST_LABEL + 1, F.lit(LONGEST_LABEL)))))
+        label = hosts.select("host", F.explode(F.array_distinct(labels)).alias("label")).where(F.length("label") >= SHORTEST_WORD)
+        at = label.select("host", "label", F.explode(F.sequence(F.lit(1), F.length("label") - SHORTEST_WORD + 1)).alias("at"))
+        lengths = F.sequence(F.lit(SHORTEST_WORD), F.least(F.lit(LONGEST_WORD), F.length("label") - F.col("at") + 1))
+        inside = at.select("host", F.explode(F.transform(lengths, lambda k: F.substr("label", F.col("at"), k))).alias("word"))
+        others = words.where(~F.col("word").isin(list(known)))
+        hosts = hosts.join(inside.join(others, "word").groupBy("host").agg(F.collect_set(F.struct("word", "n")).alias("found")), "host", "left")
+        found = F.col("found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, counts = Segmenter(known), np.zeros((2, CELLS), np.int64)
         for b in batches:
-            for host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words, seeds = words_of(host, path, segmenter)
-                for c in _cells(words):
-                    counts[int(seeds > 0), c] += 1
-        label, cell = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(cell), pa.array(counts[label, cell])], ["label", "cell", "n"])
-
-    made = urls.select("host", "path").mapInArrow(task("urls", run), "label long, cell long, n long")
-    counts = np.zeros((2, CELLS))
-    for label, cell, n in made.groupBy("label", "cell").agg(F.sum("n")).collect():  # two rows for each cell at most
-        counts[label, cell] = n
-    used = max(1, int((counts.sum(axis=0) > 0).sum()))
-    share = (counts + ALPHA) / (counts.sum(axis=1, keepdims=True) + ALPHA * used)
-    return np.where(counts.sum(axis=0) >= LEAST_URLS, np.log(share[1]) - np.log(share[0]), 0.0)
+            rows = zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)
+            split = [host_words(host, Segmenter(known | {f["word"]: math.log(f["n"]) + unit for f in more or ()})) for host, more in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(split, pa.list_(pa.string()))], ["host", "n", "host_words"])
+
+    return hosts.select("host", "n", found).mapInArrow(task("urls", run), "host string, n long, host_words array<string>")
+
+
+def features(urls: DataFrame, hosts: DataFrame) -> DataFrame:
+    """urls with host_words, __seeds (how many are seeds) and __words: the host's others, and the path's marked by a slash. Digits are one word."""
+    seed = lambda w: w.isin(sorted(SEEDS))
+    tail = F.transform(F.regexp_extract_all(F.lower("path"), F.lit("[a-z]+|[0-9]+"), F.lit(0)), lambda w: F.when(w < "a", "/#").otherwise(F.concat(F.lit("/"), w)))
+    made = join_hot(urls, hosts, "host", "n")
+    return made.withColumns({"__seeds": F.size(F.filter("host_words", seed)), "__words": F.concat(F.filter("host_words", lambda w: ~seed(w)), tail)})
+
+
+def bags(made: DataFrame) -> DataFrame:
+    """(__row, block, word, times): the words of each url, and whether its host holds a seed."""
+    words = made.select(ROW, (F.col("__seeds") > 0).alias("block"), F.explode("__words").alias("word"))
+    return words.groupBy(ROW, "block", "word").agg(F.count("*").alias("times"))
+
+
+def counts_of(bag: DataFrame) -> DataFrame:
+    """(word, blocked, n): how often words stand in urls that teach the block class, and in all."""
+    return bag.groupBy("word").agg(F.sum(F.when(F.col("block"), F.col("times")).otherwise(0)).alias("blocked"), F.sum("times").alias("n"))
+
+
+def points(met: DataFrame, share: float) -> DataFrame:
+    """(__row, __points): summed log likelihood ratios (block to allow) in billionths, by what other urls teach of the words.
+
+    met: bags with the counts of their words. The prior counts of a word in the classes are PRIOR_COUNT parted by share,
+    as all words are, so a word that nothing is known of has a ratio of one.
+    """
+    blocked = F.col("blocked") - F.when(F.col("block"), F.col("times")).otherwise(0)
+    allowed = F.col("total") - F.col("times") - blocked
+    ratio = F.log((blocked + PRIOR_COUNT * share) / (allowed + PRIOR_COUNT * (1 - share))) - math.log(share / (1 - share))
+    return met.groupBy(ROW).agg(F.sum(F.round(ratio * UNITS).cast("long") * F.col("times")).alias("__points"))
 
 
 def judge(df: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), rules: tuple[Rule, ...] = RULES, table: dict[str, float] | None = None) -> DataFrame:
-    """The columns in keep, with host, path, rule, verdict, the score (log odds to block) and the host's words."""
-    host, path = parts(url)
-    rows = df.select(*keep, host.alias("host"), path.alias("path"))
-    known = unigrams(path_words(rows)) if table is None else table
-    ratios = train(rows, known)
-    text, by_rule = matched_rule(rules, F.col("host"), F.col("path"))
-    ruled = rows.select(*keep, "host", "path", text.alias("rule"), by_rule.alias("by_rule"))
-    n = len(keep)
+    """The columns in keep, with host, path, rule, verdict, the score (log odds to block) and the host's words.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, start = Segmenter(known), math.log(PRIOR / (1 - PRIOR))
-        for b in batches:
-            scores, hosts = [], []
-            for host, path in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True):
-                words, seeds = words_of(host, path, segmenter)
-                scores.append(start + SEED_ODDS * seeds + float(ratios[_cells(words)].sum()))
-                hosts.append(host_words(host, segmenter))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(hosts, pa.list_(pa.string()))], [*b.schema.names, "score", "host_words"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ruled.schema)
-    scored = ruled.mapInArrow(task("urls", run), f"{schema}, score double, host_words array<string>")
-    verdict = F.coalesce("by_rule", F.when(F.col("score") >= 0, "block").otherwise("allow"))
-    return scored.select(*keep, "host", "path", "rule", verdict.alias("verdict"), "score", "host_words")
+    table: log probabilities of words, in place of the common ones and those of the paths.
+    """
+    host, path = parts(url)
+    with Tables(df.sparkSession, "urls") as own:
+        rows = df.select(*keep, host.alias("host"), path.alias("path"))
+        text, by_rule = matched_rule(rules, F.col("host"), F.col("path"))
+        rows = own.write(rows.withColumns({"rule": text, "__verdict": by_rule, ROW: F.monotonically_increasing_id()}), "rows")
+        words = own.write(path_words(rows), "words") if table is None else None
+        made = own.write(features(rows, own.write(segmented(rows, words, table), "hosts")), "features")
+        bag = own.write(bags(made), "bags")
+        counts = own.write(counts_of(bag), "counts")
+        taught = counts.agg(F.sum("blocked"), F.sum("n")).first()
+        scores = rows.select(ROW, F.lit(0).cast("long").alias("__points")).limit(0)
+        if taught[0] and taught[0] < taught[1]:  # one class alone teaches nothing
+            scores = points(join_hot(bag, counts.withColumn("total", F.col("n")), "word", "n"), taught[0] / taught[1])
+        start = math.log(PRIOR / (1 - PRIOR))
+        score = F.lit(start) + SEED_ODDS * F.col("__seeds") + F.coalesce("__points", F.lit(0)) / UNITS
+        verdict = F.coalesce("__verdict", F.when(F.col("score") >= 0, "block").otherwise("allow"))
+        scored = made.join(scores, ROW, "left").withColumn("score", score)
+        return materialize(scored.select(*keep, "host", "path", "rule", verdict.alias("verdict"), "score", "host_words"), "urls-judged")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

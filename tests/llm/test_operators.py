@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -554,6 +555,44 @@ def test_url_words_generalise(spark):
     assert judge(frame.where("false")).count() == 0
 
 
+def test_url_scores_equal_brute_force(spark):
+    from citegraph.llm import urls as U
+
+    rng = random.Random(5)
+    stems = ["lounge", "garden", "casino", "zorbla", "quixel", "news", "win", "farm"]
+    hosts = ["".join(rng.choices(stems, k=rng.randint(1, 3))) + rng.choice([".test", "7.org", ".x" + "ab" * 40]) for _ in range(40)] + ["hot.test"]
+    links = [f"http://{h}/{'/'.join(rng.choices([*stems, 'P5', '12'], k=rng.randint(0, 3)))}" for h in rng.choices(hosts, weights=[1] * 40 + [20], k=300)]
+    links += [None, "", "no scheme", links[0], links[0], "http://hot.test"]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(links)], "page_id long, url string").repartition(7)
+    parted = [re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "") for u in links]
+    parted = [(m.group(1), m.group(2)) if m else ("", "") for m in parted]
+    paths = Counter(w for _, p in parted for w in set(re.findall("[a-z]+", p.lower())) if 4 <= len(w) <= 24)
+    words = U.Segmenter(U.unigrams(paths))
+    made, counts = [], {True: Counter(), False: Counter()}
+    for h, p in parted:
+        own = U.host_words(h, words)
+        rest = [w for w in own if w not in U.SEEDS] + ["/#" if w.isdigit() else f"/{w}" for w in re.findall("[a-z]+|[0-9]+", p.lower())]
+        made.append((own, rest, len([w for w in own if w in U.SEEDS])))
+        counts[made[-1][2] > 0].update(rest)
+    share = sum(counts[True].values()) / sum(sum(c.values()) for c in counts.values())
+
+    def ratio(w, bag, block):
+        taught = {c: counts[c][w] - (bag.count(w) if c == block else 0) for c in counts}
+        return math.log((taught[True] + U.PRIOR_COUNT * share) / (taught[False] + U.PRIOR_COUNT * (1 - share)) / (share / (1 - share)))
+
+    for hot in (U.HOT, 8):  # with and without keys that are shuffled
+        before, U.HOT = U.HOT, hot
+        got = {r.page_id: r for r in U.judge(frame).collect()}
+        U.HOT = before
+        assert sorted(got) == list(range(len(links)))
+        for i, (own, rest, seeds) in enumerate(made):
+            assert got[i].host_words == own
+            assert math.isclose(got[i].score, math.log(0.1 / 0.9) + U.SEED_ODDS * seeds + sum(ratio(w, rest, seeds > 0) for w in rest), abs_tol=1e-6)
+            assert got[i].verdict == ("block" if got[i].score >= 0 else "allow")
+    fixed, unit = U.pooled(spark.createDataFrame(list(paths.items()), "word string, n long"))
+    assert all(math.isclose(v, fixed[w] if w in fixed else math.log(paths[w]) + unit) for w, v in U.unigrams(paths).items())
+
+
 def test_field_expects_steps_as_enumeration_does():
     from citegraph.llm.toxicity import Field, _observed
 
