@@ -229,6 +229,41 @@ def test_large_groups_of_near_copies_lose_no_link(spark):
     assert max(sizes) > 100 and len(sizes) > 20 and links.count() < 8 * len(texts)
 
 
+def rows_of_joins(spark, keys):
+    """The most rows that a join by these first keys has made since the session began."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" not in node.name() or not re.search(keys, node.desc()):
+                continue
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                made = values.get(metric.accumulatorId()) if metric.name() == "number of output rows" else None
+                most = max(most, int(made.get().replace(",", ""))) if made is not None and made.isDefined() else most
+    return most
+
+
+def test_copies_that_lost_passages_are_not_compared_in_pairs(spark):
+    from citegraph.llm.neardup import _keyed, near_duplicates
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(150)]
+    texts = []
+    for _ in range(500):
+        own, at = list(base), rng.randrange(100)
+        del own[at : at + rng.randint(5, 50)]
+        own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append(" ".join(own))
+    frame = spark.createDataFrame(rows(*texts), SCHEMA)
+    classes, _ = near_duplicates(frame)
+    got = {r.id: r.class_id for r in _keyed(frame, "doc_id", "text").join(classes.withColumnRenamed("text_key", "key"), "key").collect()}
+    find = classes_by_brute_force(texts)
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert rows_of_joins(spark, r"\[p#\d+, e#\d+L?") < 125 * len(texts)
+
+
 def test_signatures_estimate_weighted_similarity():
     from citegraph.llm.neardup import signature
 
