@@ -97,7 +97,8 @@ def hex_runs(text: Column) -> Column:
 
 def chunk_words(text: Column, size: int = 500) -> Column:
     """Paragraphs packed up to size words; a longer paragraph ends the open chunk and is cut in slices of size words."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: F.length(p) > 0)
+    # Not F.trim itself, whose second argument would be the paragraph's position: the characters to trim.
+    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
     state = "struct<done: array<struct<text: string, tokens: int>>, open: string, n: int>"
 
     def words(p: Column) -> Column:

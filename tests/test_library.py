@@ -49,6 +49,13 @@ def test_chunks_pack_paragraphs_and_cut_long_ones(spark):
     assert got == [[5, 5, 5, 2, 1], []]
 
 
+def test_chunks_keep_zeros_and_ones_at_the_ends_of_paragraphs(spark):
+    """A paragraph loses blanks at its ends, not the digits of its own position."""
+    text = "0 first 10\n\n  11 second 1 \n\n22 third 2"
+    got = values(spark, lambda c: F.transform(T.chunk_words(c, 3), lambda x: x["text"]), [text, "007 4072374829496490", " 0 "])
+    assert got == [["0 first 10", "11 second 1", "22 third 2"], ["007 4072374829496490"], ["0"]]
+
+
 def test_query_compiler():
     assert search.compile_query("Where is THE lease the lease", {"where", "is", "the"}) == [("lease", True)]
     assert search.compile_query("the", {"the"}) == [("the", False)]
