@@ -87,3 +87,33 @@ def test_the_user_is_left_out_and_groups_apart_stay_apart(spark):
         assert found == {f"{g}{i}": f"{g}0" for g in "abc" for i in range(4)}
         assert graph.communities(frame.limit(0), cut).collect() == []
     assert graph.modularity(frame.limit(0), me.withColumnRenamed("entity_id", "x").selectExpr("x", "x as y")) == 0.0
+
+
+def test_one_task_and_many_find_the_same_communities(spark, monkeypatch):
+    nodes, edges = planted(random.Random(3), 6, 10, 0.5, 0.06)
+    frame = spark.createDataFrame(edges + [(nodes[0], nodes[0], 4)], EDGE)
+    found = []
+    for local, sent in ((graph.LOCAL_LINKS, 10), (0, graph.SENT_NODES), (0, 10)):  # links moved in one task; labels sent to tasks; joined
+        monkeypatch.setattr(graph, "LOCAL_LINKS", local)
+        monkeypatch.setattr(graph, "SENT_NODES", sent)
+        with Cuts(spark) as cut:
+            found.append({r.entity_id: r.community for r in graph.communities(frame, cut).collect()})
+    assert found[0] == found[1] == found[2] and set(found[0]) == set(nodes)
+
+
+def test_a_round_moves_labels_and_no_links(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LOCAL_LINKS", 0)
+    _, edges = planted(random.Random(4), 4, 10, 0.5, 0.06)
+    frame, states = spark.createDataFrame(edges, EDGE), []
+    with Cuts(spark) as cut:
+
+        def watched(df):
+            if "wants" in df.columns:
+                states.append(df._jdf.queryExecution().executedPlan().toString())
+            return cut(df)
+
+        graph.communities(frame, watched).collect()
+    assert states
+    for plan in states:  # above the links that are kept, nothing is dealt out again
+        above = plan[: plan.index("InMemoryTableScan")]
+        assert "BroadcastHashJoin" in above and "SortMergeJoin" not in above and "Exchange hashpartitioning" not in above
