@@ -68,20 +68,29 @@ SELECT {key}, {score} AS score FROM r, s WHERE {" OR ".join(f"f{i} > 0" for i in
 BODY_SQL = _bm25_sql(CHUNKS, "chunk_id", {"text": 1.0}, TERMS)
 
 
-_indexes: dict[tuple[str, str], tuple] = {}
+_indexes: dict[tuple[str, str, str], SearchIndex | VectorIndex] = {}
+_builds = {
+    "bodies": lambda m: SearchIndex.build(m.chunks(), "chunk_id", {"text": 1.0}, carried=("item_id",)),
+    "titles": lambda m: SearchIndex.build(m.files(), "item_id", search.TITLE_COLUMNS),
+    "vectors": lambda m: VectorIndex.build(m.table("embeddings")),
+}
 
 
-def indexes(m: Model) -> tuple[SearchIndex, SearchIndex, VectorIndex]:
-    """The stored indexes of chunks, titles and vectors, made once an application and folder."""
-    at = m.spark.sparkContext.applicationId, m.folder
+def _index(m: Model, name: str) -> SearchIndex | VectorIndex:
+    """One of the stored indexes, made when a query first asks for it, once an application and folder."""
+    at = m.spark.sparkContext.applicationId, m.folder, name
     if at not in _indexes:
-        body = SearchIndex.build(m.chunks(), "chunk_id", {"text": 1.0}, carried=("item_id",))
-        _indexes[at] = body, SearchIndex.build(m.files(), "item_id", search.TITLE_COLUMNS), VectorIndex.build(m.table("embeddings"))
+        _indexes[at] = _builds[name](m)
     return _indexes[at]
 
 
+def indexes(m: Model) -> tuple[SearchIndex, SearchIndex, VectorIndex]:
+    """The stored indexes of chunks, titles and vectors."""
+    return _index(m, "bodies"), _index(m, "titles"), _index(m, "vectors")
+
+
 def _bm25(m: Model, terms: list[tuple[str, bool]], n: int) -> DataFrame:
-    return indexes(m)[0].top(terms, n).select("chunk_id", F.round("score", 6).alias("score"))
+    return _index(m, "bodies").top(terms, n).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT chunk_id, round(score, 6) AS score FROM {BODY_SQL}")
@@ -104,7 +113,7 @@ def bm25_scan(m: Model) -> DataFrame:
 @query(f"SELECT chunk_id, round(score, 6) AS score FROM {BODY_SQL}")
 def bm25_indexed(m: Model) -> DataFrame:
     """All matches by the stored index, then the best."""
-    return search.top(indexes(m)[0].bm25(TERMS), "chunk_id").select("chunk_id", F.round("score", 6).alias("score"))
+    return search.top(_index(m, "bodies").bm25(TERMS), "chunk_id").select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT chunk_id, round(score, 6) AS score FROM {BODY_SQL}")
@@ -119,7 +128,7 @@ def bm25_after_updates(m: Model) -> DataFrame:
 
 @query(f"SELECT item_id, round(2 * score, 6) AS score FROM {_bm25_sql(FILES, 'item_id', {'title': 5.0, 'uri': 1.0}, [('src3', True), ('fr', False)])}")
 def title_search(m: Model) -> DataFrame:
-    found = indexes(m)[1].top([("src3", True), ("fr", False)], search.CANDIDATES)
+    found = _index(m, "titles").top([("src3", True), ("fr", False)], search.CANDIDATES)
     return found.select("item_id", F.round(F.col("score") * search.TITLE_WEIGHT, 6).alias("score"))
 
 
@@ -130,7 +139,7 @@ FULL JOIN {_bm25_sql(FILES, "item_id", {"title": 5.0, "uri": 1.0}, TERMS)} t USI
 JOIN {FILES} f USING (item_id) LEFT JOIN {CHUNKS} c USING (item_id) WHERE f.source_id = 'src0' ORDER BY 2 DESC, 1 LIMIT 10"""
 )
 def search_filtered(m: Model) -> DataFrame:
-    bodies, titles, _ = indexes(m)
+    bodies, titles = _index(m, "bodies"), _index(m, "titles")
     body = bodies.top(TERMS, search.CANDIDATES)
     found = search.search(m.chunks(), m.files(), TERMS, 10, F.col("source_id") == "src0", body, titles.top(TERMS, search.CANDIDATES), bodies.rows_of(body))
     return found.select("item_id", F.round("score", 6).alias("score"), "snippet")
@@ -152,13 +161,13 @@ def knn_l2(m: Model) -> DataFrame:
 @query(f"SELECT vec_id, round(distance, 6) AS distance FROM ({KNN_SQL})")
 def knn_cells_exact(m: Model) -> DataFrame:
     """By the stored cells, going on until no other cell can hold a nearer vector."""
-    return indexes(m)[2].search(_vector(m), 20, exact=True).select("vec_id", F.round("distance", 6).alias("distance"))
+    return _index(m, "vectors").search(_vector(m), 20, exact=True).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 @query()
 def knn_cells(m: Model) -> DataFrame:
     """By the nearest stored cells alone; the tests measure its recall."""
-    return indexes(m)[2].search(_vector(m), 20)
+    return _index(m, "vectors").search(_vector(m), 20)
 
 
 @query(f"SELECT vec_id, round(distance, 6) AS distance FROM ({KNN_SQL}) WHERE distance <= 1.22")
@@ -172,9 +181,9 @@ b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY distance, vec_id) - 1 AS
 SELECT id, round(coalesce(1 / (60 + a.r), 0) + coalesce(1 / (60 + b.r), 0), 9) AS score FROM a FULL JOIN b USING (id)"""
 )
 def rrf_fusion(m: Model) -> DataFrame:
-    words = indexes(m)[0].top(TERMS, search.CANDIDATES)
+    words = _index(m, "bodies").top(TERMS, search.CANDIDATES)
     words = search.ranked(words, "chunk_id", [F.desc(F.round("score", 9)), F.col("chunk_id")]).select(F.split(F.split("chunk_id", "#")[0], ":")[1].cast("long").alias("id"), "rank")
-    near = search.ranked(indexes(m)[2].search(_vector(m), 20, exact=True), "vec_id", [F.col("distance"), F.col("vec_id")]).withColumnRenamed("vec_id", "id")
+    near = search.ranked(_index(m, "vectors").search(_vector(m), 20, exact=True), "vec_id", [F.col("distance"), F.col("vec_id")]).withColumnRenamed("vec_id", "id")
     return search.fuse(words, near, "id").select("id", F.round("score", 9).alias("score"))
 
 
@@ -525,7 +534,7 @@ def blacklist_union(m: Model) -> DataFrame:
 t AS (SELECT *, sum(cost) OVER (ORDER BY rank) + 30 AS total FROM c) SELECT rank::INT AS rank, chunk_id, total::BIGINT AS total FROM t WHERE total <= 2000 OR rank = 0"""
 )
 def budget_cut(m: Model) -> DataFrame:
-    bodies = indexes(m)[0]
+    bodies = _index(m, "bodies")
     found = bodies.top(TERMS, search.CANDIDATES)
     hits = search.ranked(found, "chunk_id", [F.desc(F.round("score", 9)), F.col("chunk_id")])
     costs = hits.join(bodies.rows_of(found), "chunk_id").select("rank", "chunk_id", (F.size(T.tokens(F.left("text", F.lit(200)))) + 12).cast("long").alias("cost"))

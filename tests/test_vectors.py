@@ -4,6 +4,7 @@ import numpy as np
 
 from citegraph.operators import search
 from citegraph.operators.vectors import VectorIndex, centres_of, nearest_cells
+from citegraph.plans import queries
 
 KIND = "vec_id long, embedding array<float>"
 
@@ -47,3 +48,10 @@ def test_empty_tables_odd_queries_and_few_vectors(spark):
     assert found(few.search([1.0, 0.0], 5)) == [(0, 0.0), (2, 0.0), (1, round(2**0.5, 5))] and few.search([1.0], 5).collect() == []
     same = np.ones((5, 3))
     assert nearest_cells(same, centres_of(same, 3))[1].max() == 0
+
+
+def test_a_search_of_vectors_builds_no_index_of_words(spark, tmp_path):
+    rows = [(i, [float(i), 0.0, 1.0]) for i in range(30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")  # the folder has no other table
+    for name in ("knn_cells_exact", "knn_cells"):
+        assert [r.vec_id for r in queries.QUERIES[name](spark, str(tmp_path)).collect()] == list(range(20))
