@@ -6,7 +6,8 @@ import time
 
 import pytest
 
-from citegraph.snapshot import Change, Cuts, Folder, Store
+from citegraph import snapshot
+from citegraph.snapshot import Change, Cuts, Folder, Store, checkpointed
 
 ROW = "k string, v long"
 
@@ -109,3 +110,29 @@ def test_folders_and_cuts(spark, tmp_path):
         at = Folder(spark, cut.folder)
         assert len(at.names()) == 1
     assert at.names() == []
+
+
+def test_a_large_commit_comes_in_passes_and_leaves_no_shuffle_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshot, "PASS_BYTES", 2000)
+    store, made = Store(spark, str(tmp_path / "s")), lambda rows: checkpointed(frame(spark, rows))
+    rows = made([(f"k{i}", i) for i in range(3000)])
+    with store.lock():
+        store.commit({"t": Change(["k"], rows, rows)}, whole={"u": (["k"], rows)})
+        held = store.manifest()["tables"]
+        assert all(len({at for at, _ in held[t]["held"].values()}) > 2 for t in held)  # folders, one a pass
+        store.commit({"t": Change(["k"], rows.where("v < 2000"), made([(f"k{i}", -i) for i in range(1000)]))})
+    assert store.read("u").count() == 3000
+    assert {r.k: r.v for r in store.read("t").collect()} == {f"k{i}": -i if i < 1000 else i for i in range(3000) if i < 1000 or i >= 2000}
+    with pytest.raises(ValueError, match="not named"), store.lock():
+        store.commit({"t": Change(["k"], made([("k1", 1)]), rows)})
+    on_disk = lambda: {f.getName() for f in _listed(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = on_disk()
+    checkpointed(rows.repartition(5, "k"))
+    for _ in range(50):
+        if left := on_disk() - before:
+            time.sleep(0.1)
+    assert not left
+
+
+def _listed(seq):
+    return [seq.apply(i) for i in range(seq.size())]
